@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from strandframe.llm import bpe, packing, shards
-from strandframe.llm.common import table
 from pyspark.sql import functions as F
 
+from strandframe.llm import bpe, langid, packing, quality, secrets, shards
+from strandframe.llm.common import held_out, table
+
+
+def op1_subword_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
+    out = langid.predict(docs, "doc_id", "text", model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_byte_cnn_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality", ~held_out(F.col("doc_id")))
+    out = quality.predict(docs, "doc_id", "text", model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.LEVEL).cast("int").alias("predicted"))
+
+
+def op4_linked_secrets(spark, sf_dir):
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
 
 def op2_bpe_round_trip(spark, sf_dir):
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -20,5 +39,5 @@ def op10_concatenate_and_cut(spark, sf_dir):
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op9_histogram_shards, op10_concatenate_and_cut)}
+QUERIES = {f.__name__: f for f in (op1_subword_language, op2_bpe_round_trip, op3_byte_cnn_quality, op4_linked_secrets, op9_histogram_shards, op10_concatenate_and_cut)}
 ORACLES: dict[str, str] = {}
