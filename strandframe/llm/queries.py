@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandframe.llm import bpe, langid, packing, quality, secrets, shards
+from strandframe.llm import bpe, html, langid, packing, quality, secrets, shards
 from strandframe.llm.common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op2_bpe_round_trip(spark, sf_dir):
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.sha_of_ids(F.col("ids")).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_scored_main_text(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"), "page_id", "html", carry=("url",))
+
+
 def op9_histogram_shards(spark, sf_dir):
     return shards.digest(shards.histogram_shards(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -39,5 +43,5 @@ def op10_concatenate_and_cut(spark, sf_dir):
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_subword_language, op2_bpe_round_trip, op3_byte_cnn_quality, op4_linked_secrets, op9_histogram_shards, op10_concatenate_and_cut)}
+QUERIES = {f.__name__: f for f in (op1_subword_language, op2_bpe_round_trip, op3_byte_cnn_quality, op4_linked_secrets, op5_scored_main_text, op9_histogram_shards, op10_concatenate_and_cut)}
 ORACLES: dict[str, str] = {}
