@@ -12,6 +12,7 @@ is linear in it, as the tokens that end at a position are bounded by the longest
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -21,8 +22,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.llm.common import small
+
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-_OUTSIDE = regex.compile(r"[̀-\U0010ffff]")
+_OUTSIDE = regex.compile(r"[\x1c-\x1f\u0300-\U0010ffff]")
 _END = "\x00"
 CACHE_WORDS = 300_000
 
@@ -47,10 +50,13 @@ def _byte_letters() -> list[str]:
 class PrefixBpe:
     """Encoder and decoder of one `tokenizers` file with a BPE model and a word-end suffix."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, own: bool = True):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)  # only its normaliser and splitter, for rare scripts
+        self.library = Tokenizer.from_file(path)  # its normaliser and splitter, for rare scripts
+        if not own:  # the library's merge loop for the words not met before
+            tokenize = self.library.model.tokenize
+            self.encode_piece = lambda piece: [t.id for t in tokenize(piece)]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -67,9 +73,13 @@ class PrefixBpe:
             a, b, made = vocab[left], vocab[right], vocab[left + right]
             self.rank[a << 32 | b] = n
             self.parts.setdefault(made, (n, a, b))
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))
+        missing = [c for c in self.letters.values() if c not in vocab or c + self.suffix not in vocab]
+        if missing:
+            raise ValueError(f"the vocabulary lacks bytes: {missing}")
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, bytes, str]] = {}
+        self.chunks: dict[str, tuple[int, bytes, str]] = {}
         self.pieces: dict[str, tuple[int, bytes, str]] = {}
         self.automaton = ahocorasick.Automaton()
         for text, i in sorted(vocab.items(), key=lambda x: x[1]):
@@ -77,8 +87,9 @@ class PrefixBpe:
                 continue
             ends = bool(self.suffix) and text.endswith(self.suffix)
             body = text[: -len(self.suffix)] if ends else text
-            self.automaton.add_word(body + _END if ends or not self.suffix else body, (i, len(body)))
-            if not self.suffix:
+            if ends or not self.suffix:
+                self.automaton.add_word(body + _END, (i, len(body) + 1))
+            if not ends:
                 self.automaton.add_word(body, (i, len(body)))
         self.automaton.make_automaton()
 
@@ -118,41 +129,59 @@ class PrefixBpe:
         return known
 
     def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one piece in byte letters: the program over its prefixes."""
-        n = len(piece)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        fits, at, done = self.fits, -1, False
+        """Ids of one piece in byte letters: the program over its prefixes.
+
+        The end mark is one more prefix; tokens with the word-end suffix are those that hold it.
+        """
+        if not piece:
+            return []
+        n = len(piece) + 1
+        last, back, pairs, done = [0] * (n + 1), [0] * (n + 1), self.pairs, -1
         for end, (i, size) in self.automaton.iter(piece + _END):
-            if end != at:
-                at, done = end, False
-            if done:
-                continue
-            stop = n if end == n else end + 1
-            if stop == n and end != n:  # an inner token cannot end the word
+            if end == done:
                 continue
-            start = stop - size
-            if start == 0 or (last[start] >= 0 and fits(last[start], i)):
-                last[stop], back[stop], done = i, start, True
-        ids, stop = [], n
-        while stop > 0:
-            if last[stop] < 0:
-                raise ValueError(f"no encoding of {piece!r}")
-            ids.append(last[stop])
-            stop = back[stop]
-        return ids[::-1]
+            end += 1
+            start = end - size
+            if start:
+                key = last[start] << 32 | i
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = self.fits(last[start], i)
+                if not fits:
+                    continue
+            last[end], back[end], done = i, start, end - 1
+        ids = []
+        while n:
+            ids.append(last[n])
+            n = back[n]
+        ids.reverse()
+        return ids
 
     def _known(self, cache: dict, word: str, piece: str | None) -> tuple[int, bytes, str]:
+        """The entry of a word, from here on in the cache unless it is very long."""
         if piece is None:
-            letters = self.letters
-            piece = "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
+            piece = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         ids = self.encode_piece(piece)
         if len(cache) >= CACHE_WORDS:
             cache.clear()
-        made = len(ids), np.array(ids, "<u4").tobytes(), " ".join([self.token[i] for i in ids])
+        made = len(ids), array("I", ids).tobytes(), " ".join([self.token[i] for i in ids])
         if len(word) < 256:
             cache[word] = made
         return made
 
+    def _chunk(self, chunk: str) -> tuple[int, bytes, str]:
+        """The entry of what stands between white space: one word or several."""
+        if chunk.isalpha():
+            return self._known(self.chunks, chunk, None)
+        simple = self.words
+        found = [simple.get(w) or self._known(simple, w, None) for w in _WORDS.findall(chunk)]
+        made = found[0] if len(found) == 1 else (sum([e[0] for e in found]), b"".join([e[1] for e in found]), " ".join([e[2] for e in found]))
+        if len(self.chunks) >= CACHE_WORDS:
+            self.chunks.clear()
+        if len(chunk) < 256:
+            self.chunks[chunk] = made
+        return made
+
     def _parts_of(self, text: str):
         for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
             if k % 2:
@@ -161,15 +190,14 @@ class PrefixBpe:
                 yield part
 
     def entries(self, text: str) -> list[tuple[int, bytes, str]]:
-        """(count, ids as little-endian bytes, decoded text) of each word, in order."""
+        """(count, ids as little-endian bytes, decoded text) of each stretch of the text, in order."""
         out = []
-        simple = self.words
+        simple = self.chunks
         for part in [text] if "<|" not in text else self._parts_of(text):
             if isinstance(part, int):
                 out.append((1, np.array([part], "<u4").tobytes(), self.token[part]))
             elif _OUTSIDE.search(part) is None:  # below U+0300 texts are composed and lower() goes by characters
-                for w in _WORDS.findall(part.lower()):
-                    out.append(simple.get(w) or self._known(simple, w, None))
+                out += [simple.get(c) or self._chunk(c) for c in part.lower().split()]
             else:
                 for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
                     out.append(self.pieces.get(piece) or self._known(self.pieces, piece, piece))
@@ -187,8 +215,9 @@ class PrefixBpe:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> PrefixBpe:
-    return PrefixBpe(path)
+def codec(path: str, own: bool = True) -> PrefixBpe:
+    """The codec of a worker, with its caches; `own` False takes the library for single words."""
+    return PrefixBpe(path, own)
 
 
 def encode_decode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
@@ -201,7 +230,7 @@ def encode_decode(df: DataFrame, key: str, text: str, path: str | None = None) -
 
     def run(batches):
         bpe = codec(path)
-        for batch in batches:
+        for batch in small(batches):
             ids, decoded, ends = [], [], [0]
             for t in batch.column(1).to_pylist():
                 got = bpe.entries(t) if t else []

@@ -64,3 +64,11 @@ def collecting(paths: list[str]):
         yield
     finally:
         _scope.pop()
+
+
+def small(batches, rows: int = 500, size: int = 8 << 20):
+    """Arrow batches cut to few rows, and fewer where rows are large, so that a worker holds little."""
+    for batch in batches:
+        most = max(1, min(rows, rows * size // max(batch.nbytes, 1) if batch.num_rows <= rows else batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)

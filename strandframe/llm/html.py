@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.llm.common import small
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S,
@@ -269,7 +271,7 @@ def extract(df: DataFrame, key: str, html: str, carry: tuple[str, ...] = ()) ->
     schema = ", ".join(["key " + df.schema[key].dataType.simpleString(), *[f"carry_{c} {df.schema[c].dataType.simpleString()}" for c in carry], "text string", "n_chars long"])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(h) for h in batch.column(1).to_pylist()]
             rest = [batch.column(i + 2) for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *rest, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", *[f"carry_{c}" for c in carry], "text", "n_chars"])

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.llm.common import small
+
 PER_LANGUAGE = 500  # labelled texts of each language that the fit may read
 BUCKETS = 1 << 13
 SLICE = 1 << 16  # bytes that are hashed at once
@@ -180,7 +182,7 @@ def predict(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in small(batches):
             got = [m.predict(t) for t in batch.column(1).to_pylist()]
             cols = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.bool_()))]], ["key", "lang_pred", "score", "rejected"])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.bpe import codec, default_path
-from strandframe.llm.common import durable
+from strandframe.llm.common import durable, small
 
 #: A prefix table of one row a partition is broadcast up to this many rows, joined otherwise.
 BROADCAST_ROWS = 4_000_000
@@ -31,8 +31,8 @@ def token_stream(docs: DataFrame, key: str, text: str, path: str | None = None,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        bpe, part, before = codec(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        bpe, part, before = codec(path, own=False), TaskContext.get().partitionId(), 0
+        for batch in small(batches):
             ids = [bpe.id_bytes(t) + end for t in batch.column(1).to_pylist()]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             starts = before + np.cumsum(n) - n

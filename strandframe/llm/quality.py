@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm import langid
+from strandframe.llm.common import small
 
 PER_LABEL = 900  # texts of each label that the fit may read
 WIDTH, STEP, CHUNK = 12, 4, 512
@@ -189,7 +190,7 @@ def predict(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["key", "score"])
 
     kind = df.schema[key].dataType.simpleString()
