@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandframe.llm import bpe, html, langid, packing, quality, secrets, shards
+from strandframe.llm import ann, bpe, html, langid, packing, quality, secrets, shards, topk
 from strandframe.llm.common import held_out, table
 
 
@@ -35,6 +35,14 @@ def op5_scored_main_text(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"), "page_id", "html", carry=("url",))
 
 
+def op6_norm_pruned_top_k(spark, sf_dir):
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
+def op8_learned_partitions(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0)
+
+
 def op9_histogram_shards(spark, sf_dir):
     return shards.digest(shards.histogram_shards(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -43,5 +51,5 @@ def op10_concatenate_and_cut(spark, sf_dir):
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_subword_language, op2_bpe_round_trip, op3_byte_cnn_quality, op4_linked_secrets, op5_scored_main_text, op9_histogram_shards, op10_concatenate_and_cut)}
+QUERIES = {f.__name__: f for f in (op1_subword_language, op2_bpe_round_trip, op3_byte_cnn_quality, op4_linked_secrets, op5_scored_main_text, op6_norm_pruned_top_k, op8_learned_partitions, op9_histogram_shards, op10_concatenate_and_cut)}
 ORACLES: dict[str, str] = {}
