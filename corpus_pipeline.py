@@ -1,11 +1,93 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, language, near-duplicates, secrets, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is written as
+Parquet and read again before the next. Stages 1 to 4 return the columns of `documents`; models
+are fitted on the labelled rows of the source tables. Null texts are rejected by the language
+stage; repeated rows are copies, of which the near-duplicate stage keeps one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.llm import langid, neardup, packing, quality, secrets
+from strandframe.llm.common import collecting, drop_tables, durable, held_out, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_left: list[str] = []  # intermediate tables of the stage before, whose result has been written
+
+
+def _stage(work):
+    """Drop the intermediate tables of earlier stages, and list those that this one writes."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _left)
+        with collecting(_left):
+            return work(spark, docs, sf_dir)
+
+    run.__name__, run.__doc__ = work.__name__, work.__doc__
+    return run
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with `_sf_key`, which tells repeated rows apart, written so that it stays as it is."""
+    key = F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("row"))
+    return durable(docs.select(*COLUMNS, key.alias("_sf_key")))
+
+
+@_stage
+def quality_classifier(spark, docs, sf_dir):
+    """Keep the documents that the classifier predicts to be of quality 1."""
+    model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "quality", ~held_out(F.col("doc_id")))
+    return quality.keep(docs.select(*COLUMNS), "text", model)
+
+
+@_stage
+def language_id(spark, docs, sf_dir):
+    """Keep the documents whose language is told with enough confidence."""
+    model = langid.fit(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
+    return langid.keep(docs.select(*COLUMNS), "text", model)
+
+
+@_stage
+def near_duplicates(spark, docs, sf_dir):
+    """Keep one document of each near-duplicate class: the one with the smallest doc_id."""
+    rows = _keyed(docs)
+    found = neardup.classes(rows, "_sf_key", "text")
+    first = durable(found.filter(F.col("key") == F.col("class_id")).select(F.col("key.row").alias("row")))
+    return rows.withColumn("row", F.col("_sf_key.row")).join(first, "row", "left_semi").select(*COLUMNS)
+
+
+@_stage
+def secret_scans(spark, docs, sf_dir):
+    """Replace every secret in the texts by a mark; n_chars follows the new text."""
+    found = secrets.scan(docs, "doc_id", "text", carry=COLUMNS[1:])
+    text = secrets.redact(F.col("text"), F.col("spans"))
+    out = found.select(F.col("key").alias("doc_id"), text.alias("text"), "lang", "source", F.col("n_chars"), F.size("spans").alias("n_"))
+    return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+@_stage
+def pack(spark, docs, sf_dir):
+    """Pieces of fixed-length token sequences."""
+    return packing.digest(packing.pack(docs, "doc_id", "text"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_duplicates),
+    ("secret scans", secret_scans),
+    ("packing", pack),
+]
+
+#: Trained models, signatures and tokenization are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

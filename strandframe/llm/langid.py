@@ -189,3 +189,15 @@ def predict(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
+
+
+def keep(df: DataFrame, text: str, model: Model) -> DataFrame:
+    """The rows, with all their columns, that are not rejected; each row is judged where it lies."""
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+
+    def run(batches):
+        m = shared.value
+        for batch in small(batches):
+            yield batch.filter(pa.array([not m.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandframe.llm import ann, bpe, html, langid, packing, quality, secrets, shards, topk
+from strandframe.llm import ann, bpe, html, langid, neardup, packing, quality, secrets, shards, topk
 from strandframe.llm.common import held_out, table
 
 
@@ -39,6 +39,11 @@ def op6_norm_pruned_top_k(spark, sf_dir):
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
 
 
+def op7_bagminhash_near_duplicates(spark, sf_dir):
+    out = neardup.classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select(F.col("key").alias("doc_id"), "class_id")
+
+
 def op8_learned_partitions(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0)
 
@@ -51,5 +56,5 @@ def op10_concatenate_and_cut(spark, sf_dir):
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_subword_language, op2_bpe_round_trip, op3_byte_cnn_quality, op4_linked_secrets, op5_scored_main_text, op6_norm_pruned_top_k, op8_learned_partitions, op9_histogram_shards, op10_concatenate_and_cut)}
+QUERIES = {f.__name__: f for f in (op1_subword_language, op2_bpe_round_trip, op3_byte_cnn_quality, op4_linked_secrets, op5_scored_main_text, op6_norm_pruned_top_k, op7_bagminhash_near_duplicates, op8_learned_partitions, op9_histogram_shards, op10_concatenate_and_cut)}
 ORACLES: dict[str, str] = {}
