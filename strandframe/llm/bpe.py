@@ -25,9 +25,35 @@ from pyspark.sql import functions as F
 from strandframe.llm.common import small
 
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-_OUTSIDE = regex.compile(r"[\x1c-\x1f\u0300-\U0010ffff]")
+_OUTSIDE = regex.compile(r"[\u0300-\U0010ffff]")
 _END = "\x00"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000  # entries of the younger generation; the older one holds as many
+
+
+class _Memo(dict):
+    """Entries by their text, made when first asked for; the older generation goes when the younger is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, text: str):
+        made = self.old.get(text)
+        if made is None:
+            made = self.make(text)
+        if len(text) < 256:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[text] = made
+        return made
+
+
+def _plain(text: str) -> bool:
+    """Below U+0300 texts are composed, lower() goes by characters, and split() by white space."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return False
+    return text.isascii() or _OUTSIDE.search(text) is None
 
 
 def default_path() -> str:
@@ -78,9 +104,7 @@ class PrefixBpe:
         if missing:
             raise ValueError(f"the vocabulary lacks bytes: {missing}")
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, bytes, str]] = {}
-        self.chunks: dict[str, tuple[int, bytes, str]] = {}
-        self.pieces: dict[str, tuple[int, bytes, str]] = {}
+        self.chunks, self.pieces, self.flat = _Memo(self._chunk), _Memo(self._piece), _Memo(self._flat)
         self.automaton = ahocorasick.Automaton()
         for text, i in sorted(vocab.items(), key=lambda x: x[1]):
             if not self._reachable(i):
@@ -157,30 +181,29 @@ class PrefixBpe:
         ids.reverse()
         return ids
 
-    def _known(self, cache: dict, word: str, piece: str | None) -> tuple[int, bytes, str]:
-        """The entry of a word, from here on in the cache unless it is very long."""
-        if piece is None:
-            piece = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = self.encode_piece(piece)
-        if len(cache) >= CACHE_WORDS:
-            cache.clear()
-        made = len(ids), array("I", ids).tobytes(), " ".join([self.token[i] for i in ids])
-        if len(word) < 256:
-            cache[word] = made
-        return made
+    def _ids(self, word: str) -> list[int]:
+        return self.encode_piece(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
+
+    def _entry(self, ids: list[int]) -> tuple[int, bytes, str]:
+        return len(ids), array("I", ids).tobytes(), " ".join([self.token[i] for i in ids])
+
+    def _piece(self, piece: str) -> tuple[int, bytes, str]:
+        return self._entry(self.encode_piece(piece))
 
     def _chunk(self, chunk: str) -> tuple[int, bytes, str]:
         """The entry of what stands between white space: one word or several."""
-        if chunk.isalpha():
-            return self._known(self.chunks, chunk, None)
-        simple = self.words
-        found = [simple.get(w) or self._known(simple, w, None) for w in _WORDS.findall(chunk)]
-        made = found[0] if len(found) == 1 else (sum([e[0] for e in found]), b"".join([e[1] for e in found]), " ".join([e[2] for e in found]))
-        if len(self.chunks) >= CACHE_WORDS:
-            self.chunks.clear()
-        if len(chunk) < 256:
-            self.chunks[chunk] = made
-        return made
+        words = [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
+        if words == [chunk]:
+            return self._entry(self._ids(chunk))
+        found = [self.chunks[w] for w in words]
+        return sum([e[0] for e in found]), b"".join([e[1] for e in found]), " ".join([e[2] for e in found])
+
+    def _flat(self, chunk: str) -> bytes:
+        """Its ids alone."""
+        words = [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
+        if words == [chunk]:
+            return array("I", self._ids(chunk)).tobytes()
+        return b"".join([self.flat[w] for w in words])
 
     def _parts_of(self, text: str):
         for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
@@ -192,19 +215,22 @@ class PrefixBpe:
     def entries(self, text: str) -> list[tuple[int, bytes, str]]:
         """(count, ids as little-endian bytes, decoded text) of each stretch of the text, in order."""
         out = []
-        simple = self.chunks
         for part in [text] if "<|" not in text else self._parts_of(text):
             if isinstance(part, int):
-                out.append((1, np.array([part], "<u4").tobytes(), self.token[part]))
-            elif _OUTSIDE.search(part) is None:  # below U+0300 texts are composed and lower() goes by characters
-                out += [simple.get(c) or self._chunk(c) for c in part.lower().split()]
+                out.append(self._entry([part]))
+            elif _plain(part):
+                out += map(self.chunks.__getitem__, part.lower().split())
             else:
-                for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
-                    out.append(self.pieces.get(piece) or self._known(self.pieces, piece, piece))
+                pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                out += [self.pieces[piece] for piece, _ in pieces]
         return out
 
     def id_bytes(self, text: str | None) -> bytes:
-        return b"".join([e[1] for e in self.entries(text)]) if text else b""
+        if not text:
+            return b""
+        if "<|" not in text and _plain(text):
+            return b"".join(map(self.flat.__getitem__, text.lower().split()))
+        return b"".join([e[1] for e in self.entries(text)])
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.id_bytes(text), "<u4").tolist()
