@@ -45,6 +45,7 @@ BANDS, DEPTH = 16, 4
 REGISTERS = BANDS * DEPTH
 WINDOW = 512  # texts of a bucket that are held side by side
 PROPOSALS = 3  # most similar earlier texts in a window that a text is paired with
+FILTERED = 1 << 24  # texts in pairs up to which their Bloom filter, of 64 MB at most, is broadcast
 LIKELY = 0.62  # share of equal registers from which a pair is proposed: some three standard deviations below 0.8
 
 
@@ -232,15 +233,50 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / max(1, int(na.sum() + nb.sum()) - both)
 
 
+def bloom(ids: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """A Bloom filter of 16-byte ids: bits, a power of two near 16 a member, and its 64-bit words.
+
+    Words are made by an aggregation, so the driver gets one row a word that has a bit.
+    """
+    bits = 1 << max(16, (16 * n - 1).bit_length())
+    at = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(F.xxhash64(i, F.col("same")), F.lit(bits)))
+    words = ids.select(F.explode(at).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["set"].to_numpy()
+    return bits, out.view(np.uint64)
+
+
+def _maybe(named: DataFrame, words: np.ndarray) -> DataFrame:
+    """The rows all of whose places are set."""
+    shared, schema = named.sparkSession.sparkContext.broadcast(words), named.drop("at").schema
+
+    def run(batches):
+        w = shared.value
+        for batch in batches:
+            at = batch.column(3).flatten().to_numpy().reshape(-1, 4) if batch.num_rows else np.zeros((0, 4), np.int64)
+            keep = ((w[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
+            some = pa.array(keep & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+            yield batch.select([0, 1, 2]).filter(some)
+
+    return named.filter("n is not null").mapInArrow(run, schema)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, enough: float = ENOUGH) -> DataFrame:
     """The pairs whose multisets overlap enough.
 
     The words of a text come from one of its rows, the first by key; joined on text and key, the
-    rows of a much repeated text are spread.
+    rows of a much repeated text are spread. Up to FILTERED texts, a Bloom filter of a bounded
+    size keeps the others from the shuffle; beyond, all texts are shuffled once.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
     wanted = durable(texts.select("same", "first").join(ends, "same"))
     named = docs.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("n"), F.col(key).alias("k"), F.col(text).alias("text"))
+    n = wanted.count()
+    if n <= FILTERED:
+        bits, words = bloom(wanted, n)
+        # the same places as in bloom(), computed by Spark; the words are looked up in Python
+        at = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(F.xxhash64(i, F.col("n")), F.lit(bits)))
+        named = _maybe(named.withColumn("at", at), words)
     rows = wanted.join(named, (F.col("n") == F.col("same")) & F.col("k").eqNullSafe(F.col("first"))).select("same", "text")
     # a repeated row brings its text again; those are some rows of one key
     once = durable(bag_bytes(rows, "text").groupBy("same").agg(F.first("bag").alias("bag")))
