@@ -25,3 +25,35 @@ def header_counts(objects: DataFrame, group: str | None, length: str, line_type:
         F.max(F.when(inside, F.col("n"))).alias("group_max_count"),
         F.max(F.when(inside, F.col("total"))).cast("bigint").alias("group_max_total"),
     )
+
+
+def group_check(asserted: DataFrame, objects: DataFrame, group: str, given: str) -> DataFrame:
+    """group, given, found where the stated size of a group is not the number of its objects."""
+    found = objects.groupBy(group).agg(F.count("*").alias("found"))
+    both = asserted.select(group, F.col(given).alias("given")).join(found, group, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return both.filter(F.col("given") != F.col("found"))
+
+
+def header_check(given: DataFrame, found: DataFrame) -> DataFrame:
+    """line_type, given, found, state of two tables (line_type, n): bad if they differ, missing if none was given."""
+    both = given.select("line_type", F.col("n").alias("given")).join(found.select("line_type", F.col("n").alias("found")), "line_type", "full_outer")
+    both = both.select("line_type", F.coalesce("given", F.lit(0)).alias("given"), F.coalesce("found", F.lit(0)).alias("found"))
+    state = F.when((F.col("given") > 0) & (F.col("given") != F.col("found")), "bad").when((F.col("given") == 0) & (F.col("found") > 0), "missing")
+    return both.withColumn("state", state).filter("state is not null")
+
+
+def usage(lines: DataFrame, line_type: str, text: str) -> DataFrame:
+    """Bytes of each line type."""
+    return lines.groupBy(line_type).agg(F.count("*").alias("n_lines"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("bigint").alias("n_bytes"))
+
+
+def symbols(df: DataFrame, text: str) -> DataFrame:
+    """symbol, n, code, bits: histogram of characters with a dense order-preserving code and its width."""
+    from pyspark.sql import Window
+
+    n = df.select(F.explode(F.split(F.col(text), "")).alias("symbol")).filter("symbol != ''").groupBy("symbol").agg(F.count("*").alias("n"))
+    w = Window.orderBy("symbol")  # the alphabet
+    whole = Window.partitionBy()
+    coded = n.withColumn("code", F.dense_rank().over(w) - 1).withColumn("size_", F.count("*").over(whole))
+    bits = F.ceil(F.log2(F.greatest(F.col("size_"), F.lit(2)))).cast("int")
+    return coded.select("symbol", "n", "code", bits.alias("bits"))
