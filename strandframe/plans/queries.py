@@ -2,22 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from strandframe.operators import stats
-from strandframe.plans.registry import ORACLES, QUERIES, query, table
+from strandframe.plans import arrays, groups, records, scans, selection  # noqa: F401  they register their queries
+from strandframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
-
-
-@query("""
-WITH per AS (SELECT lang AS g, count(*) AS n, coalesce(max(length(text)), 0) AS longest, coalesce(sum(length(text)), 0) AS total
-             FROM documents GROUP BY lang)
-SELECT 'S' AS line_type, CAST(sum(n) AS BIGINT) AS n_lines, CAST(max(longest) AS BIGINT) AS max_len,
-       CAST(sum(total) AS BIGINT) AS total_len,
-       max(n) FILTER (g IS NOT NULL) AS group_max_count,
-       CAST(max(total) FILTER (g IS NOT NULL) AS BIGINT) AS group_max_total
-FROM per""")
-def one_header_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("len"))
-    return stats.header_counts(docs, "lang", "len", "S")
