@@ -1 +1 @@
-
+"""Operators over unbounded inputs of records."""
