@@ -61,8 +61,27 @@ def binomial(u: Column, n: int, p: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, lambda a: a["k"])
 
 
+def mutate(seq: Column, seed: Column, insert: float, delete: float, substitute: float) -> Column:
+    """A sequence with letters inserted, deleted and replaced at given rates; the same seed gives the same result.
+
+    Chance is a hash of seed and place, so no state is carried from letter to letter.
+    """
+    letters = F.array(*map(F.lit, "acgt"))
+    chance = lambda i, k: F.pmod(F.xxhash64(seed, i, F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+    other = lambda c, i: F.get(F.filter(letters, lambda x: x != c), F.floor(chance(i, 1) * 3).cast("int"))
+    any_ = lambda i: F.get(letters, F.floor(chance(i, 2) * 4).cast("int"))
+
+    def one(c, i):
+        u = chance(i, 0)
+        return F.when(u < delete, "").when(u < delete + substitute, other(c, i)).when(u < delete + substitute + insert, F.concat(any_(i), c)).otherwise(c)
+
+    return F.when(F.length(seq) > 0, F.array_join(F.transform(F.split(seq, ""), one), "")).otherwise(seq)
+
+
 def choose(draws: DataFrame, u: str, weights: DataFrame, value: str, weight: str) -> DataFrame:
-    """Each draw with the value in whose share of the cumulative weights it falls; the table of weights is small by its kind."""
+    """Each draw with the value in whose share of the cumulative weights it falls; a table of more than 100,000 weights is an error."""
+    if weights.limit(100_001).count() > 100_000:
+        raise ValueError("a table of weights has at most 100,000 rows")
     w = Window.orderBy(value)
     up = F.sum(weight).over(w)
     total = F.sum(weight).over(Window.partitionBy())

@@ -59,3 +59,31 @@ def reset_chain_flags(df: DataFrame, group: str, order: list[str], chained: Colu
     rows = df.withColumn("insert_", insert).withColumn("chained_", chained).filter(kept)
     place = F.row_number().over(Window.partitionBy(group, "insert_").orderBy(*order))
     return rows.withColumn("chained_after", F.col("chained_") & (place > 1)).drop("chained_")
+
+
+def file_groups(df: DataFrame, file: str, name: Column, order: list[str]) -> DataFrame:
+    """file, group_ord, name, n: one group a file, in the order of names of files, called after its first record."""
+    per = df.groupBy(file).agg(F.min_by(name, F.struct(*order)).alias("name"), F.count("*").alias("n"))
+    return per.withColumn("group_ord", F.row_number().over(Window.orderBy(file)) - 1)  # one row a file
+
+
+def compose_maps(first: DataFrame, second: DataFrame, shift: int = 13) -> DataFrame:
+    """Alignments a-b and b-c, of equal lengths on both sides, to a-c where they share a stretch of b.
+
+    Columns a, as_, ae, b, bs, be of either; the second's a is the first's b. Pieces are the
+    overlaps, carried over by their distance from the ends. An interval join by bins.
+    """
+    from strandframe.operators.intervals import overlap_join
+
+    left = first.filter(F.col("bs") < F.col("be")).select("a", "as_", "ae", F.col("b").alias("on"), F.col("bs").alias("beg"), (F.col("be") - 1).alias("end"))
+    right = second.filter(F.col("as_") < F.col("ae")).select(F.col("a").alias("on"), F.col("as_").alias("beg"), (F.col("ae") - 1).alias("end"), F.col("b").alias("c"), F.col("bs").alias("cs"))
+    both = overlap_join(left, right, "on", shift)
+    beg, end = F.greatest("l_beg", "r_beg"), F.least("l_end", "r_end") + 1
+    return both.select(
+        F.col("l_a").alias("a"),
+        (F.col("l_as_") + beg - F.col("l_beg")).alias("as_"),
+        (F.col("l_as_") + end - F.col("l_beg")).alias("ae"),
+        F.col("r_c").alias("b"),
+        (F.col("r_cs") + beg - F.col("r_beg")).alias("bs"),
+        (F.col("r_cs") + end - F.col("r_beg")).alias("be"),
+    )

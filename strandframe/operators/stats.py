@@ -57,3 +57,13 @@ def symbols(df: DataFrame, text: str) -> DataFrame:
     coded = n.withColumn("code", F.dense_rank().over(w) - 1).withColumn("size_", F.count("*").over(whole))
     bits = F.ceil(F.log2(F.greatest(F.col("size_"), F.lit(2)))).cast("int")
     return coded.select("symbol", "n", "code", bits.alias("bits"))
+
+
+def totals(reads: DataFrame, length: str) -> DataFrame:
+    """n_reads, total and longest of a set of reads."""
+    return reads.agg(F.count("*").alias("n_reads"), F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("total"), F.coalesce(F.max(length), F.lit(0)).cast("long").alias("longest"))
+
+
+def scaffold_lengths(contigs: DataFrame, scaffold: str, start: str, length: str, order: list[str]) -> DataFrame:
+    """scaffold, length: where its last contig ends."""
+    return contigs.groupBy(scaffold).agg(F.max_by(F.col(start) + F.col(length), F.struct(*order)).alias("length"))

@@ -73,14 +73,21 @@ def synced(left: DataFrame, right: DataFrame, mode: str = "exact") -> DataFrame:
     """Full outer join of two variant tables (chrom, pos, ref, alt, kind and others) by position.
 
     exact: same alleles; any: all records of a position; snps and indels: records of that kind with
-    any alleles, others by alleles; both: either kind with its own. Columns get l_ and r_.
+    any alleles, others by alleles; both: either kind with its own; the _ref modes also pair a
+    record without alternatives. some: records that share an alternative. Columns get l_ and r_.
     """
+    if mode == "some":
+        return _sharing(left, right)
+    ref = F.col("kind") == REF
     keys = {
         "exact": lambda: F.concat_ws(">", "ref", "alt"),
         "any": lambda: F.lit(""),
         "snps": lambda: F.when(F.col("kind") == SNP, F.lit("snp")).otherwise(F.concat_ws(">", "ref", "alt")),
         "indels": lambda: F.when(F.col("kind") == INDEL, F.lit("indel")).otherwise(F.concat_ws(">", "ref", "alt")),
         "both": lambda: F.when(F.col("kind") == SNP, F.lit("snp")).when(F.col("kind") == INDEL, F.lit("indel")).otherwise(F.concat_ws(">", "ref", "alt")),
+        "snps_ref": lambda: F.when(ref | (F.col("kind") == SNP), F.lit("snp")).otherwise(F.concat_ws(">", "ref", "alt")),
+        "indels_ref": lambda: F.when(ref | (F.col("kind") == INDEL), F.lit("indel")).otherwise(F.concat_ws(">", "ref", "alt")),
+        "both_ref": lambda: F.when(ref | F.col("kind").isin(SNP, INDEL), F.lit("any")).otherwise(F.concat_ws(">", "ref", "alt")),
     }[mode]
 
     def side(df, s):
@@ -90,6 +97,19 @@ def synced(left: DataFrame, right: DataFrame, mode: str = "exact") -> DataFrame:
     return out.withColumnsRenamed({"chrom_": "chrom", "pos_": "pos"}).drop("pair_")
 
 
+def _sharing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both with any of their comma-joined alternatives in common, each pair once; others alone."""
+    named = {}
+    for s, df in (("l", left), ("r", right)):
+        named[s] = df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns], F.xxhash64(*df.columns).alias(f"{s}_h_"), F.explode(F.split("alt", ",")).alias("one_"), F.col("chrom").alias("chrom"), F.col("pos").alias("pos"), F.col("ref").alias("ref_"))
+    both = named["l"].join(named["r"], ["chrom", "pos", "ref_", "one_"]).dropDuplicates(["chrom", "pos", "l_h_", "r_h_"]).drop("ref_", "one_")
+    alone = []
+    for s, o in (("l", "r"), ("r", "l")):
+        own = named[s].dropDuplicates(["chrom", "pos", f"{s}_h_"]).drop("ref_", "one_")
+        alone.append(own.join(both.select("chrom", "pos", f"{s}_h_").distinct(), ["chrom", "pos", f"{s}_h_"], "left_anti"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [both, *alone]).drop("l_h_", "r_h_")
+
+
 def has_filter(filters: Column, name: str) -> Column:
     """PASS stands for an empty list."""
     return F.size(filters) == 0 if name == "PASS" else F.array_contains(filters, name)
@@ -123,6 +143,40 @@ def trim_alleles(alts: Column, genotypes: Column) -> Column:
     return F.struct(kept.alias("alts"), new.alias("genotypes"))
 
 
+def remove_alleles(alts: Column, genotypes: Column, gone: Column) -> Column:
+    """struct<alts, genotypes> without the alternatives numbered (from 1) in `gone`; calls of them become missing."""
+    kept = F.filter(F.sequence(F.lit(0), F.size(alts)), lambda i: (i == 0) | ~F.array_contains(gone, i))
+    parts = lambda g: F.regexp_extract_all(g, F.lit(r"[0-9.]+|[/|]"), F.lit(0))
+    place = lambda x: F.array_position(kept, x.try_cast("int"))
+    one = lambda x: F.when(~x.rlike("^[0-9]+$"), x).when(place(x) > 0, (place(x) - 1).cast("string")).otherwise(".")
+    new = F.transform(genotypes, lambda g: F.array_join(F.transform(parts(g), one), ""))
+    return F.struct(F.filter(alts, lambda _, i: F.array_contains(kept, i + 1)).alias("alts"), new.alias("genotypes"))
+
+
+def per_allele(values: Column, gone: Column, number: str = "A") -> Column:
+    """Values of a field with one a alternative (A), allele (R) or genotype of two alleles (G), without those of `gone`."""
+    if number == "A":
+        return F.filter(values, lambda _, i: ~F.array_contains(gone, i + 1))
+    if number == "R":
+        return F.filter(values, lambda _, i: (i == 0) | ~F.array_contains(gone, i))
+    # genotype j/k, j <= k, is at k (k + 1) / 2 + j
+    high = lambda i: F.floor((F.sqrt(8 * i + 1) - 1) / 2).cast("int")
+    return F.filter(values, lambda _, i: ~F.array_contains(gone, high(i)) & ~F.array_contains(gone, (i - (high(i) * (high(i) + 1) / 2).cast("int"))))
+
+
+def restricted(sites: DataFrame, regions: DataFrame, shift: int = 13) -> DataFrame:
+    """Sites (chrom, pos) within any of the regions (chrom, beg, end, inclusive), each once.
+
+    Regions are merged first, so that a site lies in one at most and nothing is repeated.
+    """
+    from strandframe.operators.intervals import merge
+
+    one = merge(regions, "chrom")
+    binned = one.withColumn("bin_", F.explode(F.sequence(F.shiftright(F.col("beg").cast("long"), shift), F.shiftright(F.col("end").cast("long"), shift)))).drop("n")
+    held = sites.withColumn("bin_", F.shiftright(F.col("pos").cast("long"), shift)).join(binned, ["chrom", "bin_"])
+    return held.filter((F.col("pos") >= F.col("beg")) & (F.col("pos") <= F.col("end"))).select(*sites.columns)
+
+
 def _log_choose(n: Column, k: Column) -> Column:
     """log of n over k as a sum; exact enough for tables of small counts and free of UDFs."""
     steps = F.sequence(F.lit(1), F.greatest(k, F.lit(1)))

@@ -202,3 +202,13 @@ def mate_overlap(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     side = lambda n, s: li.filter(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("pos"), F.col("l_quantity").cast("int").alias(f"q{s}"), F.when(F.col("l_linestatus") == "O", "A").otherwise("C").alias(f"base_{s}"), F.col("l_extendedprice").alias(f"p{s}"))
     return align.overlap_quality(side(1, "a").join(side(2, "b"), "pos")).select("pos", "pa", "pb", "qa", "qb")
+
+
+@query("""
+WITH r AS (SELECT o_orderstatus AS chrom, o_custkey * 100 AS beg, o_custkey * 100 + 40 AS e FROM orders WHERE o_orderkey % 7 = 0)
+SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM r WHERE r.chrom = o_orderstatus AND o_orderkey * 3 BETWEEN r.beg AND r.e)""")
+def restricted_sites(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    regions = o.filter("o_orderkey % 7 = 0").select(F.col("o_orderstatus").alias("chrom"), (F.col("o_custkey") * 100).alias("beg"), (F.col("o_custkey") * 100 + 40).alias("end"))
+    sites = o.select("o_orderkey", F.col("o_orderstatus").alias("chrom"), (F.col("o_orderkey") * 3).alias("pos"))
+    return variants.restricted(sites, regions, shift=8).select("o_orderkey")

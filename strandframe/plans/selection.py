@@ -197,3 +197,62 @@ def provenance_union(spark, sf_dir):
     from strandframe.operators.variants import union_metadata
 
     return union_metadata(step(table(spark, sf_dir, "orders"), "o_orderstatus", "import", "1.0"), step(table(spark, sf_dir, "lineitem"), "l_linestatus", "pair", "1.1"))
+
+
+@query("""
+WITH f AS (SELECT l_shipmode AS file, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
+     n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM f)
+SELECT file, max(CASE WHEN rn = 1 THEN CAST(l_orderkey AS VARCHAR) END) AS name, count(*) AS n, row_number() OVER (ORDER BY file) - 1 AS group_ord FROM n GROUP BY file""")
+def file_groups(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_shipmode", "file")
+    return joins.file_groups(li, "file", F.col("l_orderkey").cast("string"), LINE).select("file", "name", "n", F.col("group_ord").cast("long").alias("group_ord"))
+
+
+@query(f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(c + " DESC" for c in LINE)}) AS rn FROM lineitem)
+SELECT l_orderkey, l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS length FROM r WHERE rn = 1""")
+def scaffold_lengths(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("start", F.col("l_linenumber") * 100).withColumn("len", F.col("l_quantity").cast("long"))
+    return stats.scaffold_lengths(li, "l_orderkey", "start", "len", LINE)
+
+
+@query("SELECT count(*) AS n_reads, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS total, CAST(max(length(text)) AS BIGINT) AS longest FROM documents")
+def read_totals(spark, sf_dir):
+    return stats.totals(table(spark, sf_dir, "documents").select(F.length("text").alias("n")), "n")
+
+
+_AB = "SELECT l_orderkey AS a, CAST(l_quantity AS BIGINT) * 3 AS as_, CAST(l_quantity AS BIGINT) * 3 + 40 AS ae, l_suppkey AS b, l_partkey % 500 AS bs, l_partkey % 500 + 40 AS be FROM lineitem WHERE l_linenumber = 1"
+_BC = "SELECT l_suppkey AS a, l_partkey % 500 AS as_, l_partkey % 500 + 25 AS ae, l_orderkey AS b, l_orderkey % 300 AS bs, l_orderkey % 300 + 25 AS be FROM lineitem WHERE l_linenumber = 2"
+
+
+@query(f"""
+WITH x AS ({_AB}), y AS ({_BC}),
+     o AS (SELECT x.a, x.as_ - x.bs AS dx, y.b, y.bs - y.as_ AS dy, greatest(x.bs, y.as_) AS s, least(x.be, y.ae) AS e FROM x JOIN y ON x.b = y.a AND x.bs < y.ae AND y.as_ < x.be)
+SELECT a, s + dx AS as_, e + dx AS ae, b, s + dy AS bs, e + dy AS be FROM o""")
+def map_composition(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    q, p, k = F.col("l_quantity").cast("long") * 3, F.col("l_partkey") % 500, F.col("l_orderkey") % 300
+    ab = li.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("a"), q.alias("as_"), (q + 40).alias("ae"), F.col("l_suppkey").alias("b"), p.alias("bs"), (p + 40).alias("be"))
+    bc = li.filter("l_linenumber = 2").select(F.col("l_suppkey").alias("a"), p.alias("as_"), (p + 25).alias("ae"), F.col("l_orderkey").alias("b"), k.alias("bs"), (k + 25).alias("be"))
+    return joins.compose_maps(ab, bc, shift=6)
+
+
+@query("""
+WITH r AS (SELECT doc_id, length(text) AS n, length(source) AS q, text IS NOT NULL AND NOT regexp_full_match(coalesce(source, ''), '[!-~]*') AS odd FROM documents)
+SELECT doc_id, 'quality and sequence differ in length' AS fault FROM r WHERE n <> q UNION ALL SELECT doc_id, 'a quality letter is out of range' FROM r WHERE odd""")
+def sequence_faults(spark, sf_dir):
+    from strandframe.operators import validate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("S"), F.col("source").alias("Q"), F.lit(None).cast("string").alias("A"))
+    return validate.faults(docs, ["doc_id"], validate.sequence_rules())
+
+
+@query("""
+SELECT doc_id, length(text) AS n_before, length(text) AS n_after FROM documents WHERE length(text) BETWEEN 1 AND 3000""")
+def mutated_letters(spark, sf_dir):
+    from strandframe.functions import samplers
+
+    docs = table(spark, sf_dir, "documents").filter(F.length("text").between(1, 3000)).select("doc_id", X.dna(F.col("text")).alias("s"))
+    # substitutions alone keep the length
+    m = docs.withColumn("m", samplers.mutate(F.col("s"), F.col("doc_id"), 0.0, 0.0, 0.1))
+    return m.select("doc_id", F.length("s").cast("long").alias("n_before"), F.length("m").cast("long").alias("n_after"))
