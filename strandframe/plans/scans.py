@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.ordered import Ordered
 from strandframe.plans.registry import query, table
-from strandframe.sources import onecode, records
+from strandframe.sources import records, tagged
 from strandframe.sources import schema as S
 
 
@@ -30,7 +30,7 @@ D C 1 6 STRING
 
 @query("""
 SELECT n_nationkey, n_name, r_name, n_nationkey * 7 - 3 AS k1, len(string_split(n_name, '')) AS k2 FROM nation JOIN region ON n_regionkey = r_regionkey""")
-def onecode_roundtrip(spark, sf_dir):
+def one_roundtrip(spark, sf_dir):
     kind = S.parse_schema(_TYPES)["nat"]
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     order = ["n_regionkey", "n_nationkey"]
@@ -38,10 +38,10 @@ def onecode_roundtrip(spark, sf_dir):
     objects = rows.select("obj_ord", F.struct(F.col("n_nationkey").cast("long").alias("N0"), F.col("n_name").alias("N1")).alias("N"), F.array((F.col("n_nationkey") * 7 - 3).cast("long"), F.length("n_name").cast("long")).alias("K"))
     groups = rows.groupBy(F.col("n_regionkey").cast("long").alias("group_ord"), F.col("r_name").alias("g1")).agg(F.min("obj_ord").alias("first_obj"), F.count("*").alias("n_obj")).withColumn("g0", F.col("n_obj"))
     at = folder(spark)
-    onecode.write_text(onecode.object_lines(objects, kind, groups), onecode.header_lines(onecode.Header(kind, "reg")), at)
-    head = onecode.header(spark, at)
-    lines = onecode.lines(spark, at, head.type, whole=True)
-    back = onecode.objects(lines, head.type).join(onecode.groups(lines, head.type), ["file", "group_ord"])
+    tagged.write_text(tagged.object_lines(objects, kind, groups), tagged.header_lines(tagged.Header(kind, "reg")), at)
+    head = tagged.header(spark, at)
+    lines = tagged.lines(spark, at, head.type, whole=True)
+    back = tagged.objects(lines, head.type).join(tagged.groups(lines, head.type), ["file", "group_ord"])
     return back.select(F.col("N.N0").alias("n_nationkey"), F.col("N.N1").alias("n_name"), F.col("g1").alias("r_name"), F.get("K", F.lit(0)).alias("k1"), F.get("K", F.lit(1)).alias("k2"))
 
 

@@ -4,7 +4,7 @@ A file is a text header up to `$`, coded data lines, an empty line, and a footer
 of list bytes, and the places of objects and groups. `scan` reads a range of objects a task
 through a Python data source, so one file is read by many tasks; its paths must be readable by the
 executors as files (a shared mount). `scan_any` reads through Spark's own binary source from any
-store, one task a file, for files under 2 GB. Both give lines in the text form of `onecode`, so all its
+store, one task a file, for files under 2 GB. Both give lines in the text form of `tagged`, so all its
 tables work on them.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandframe.sources import codec
 from strandframe.sources import schema as S
-from strandframe.sources.onecode import Header, header_lines, parse_header
+from strandframe.sources.tagged import Header, header_lines, parse_header
 
 #: The codes of line types are 128 and twice a letter's place, or for these signs four times it.
 _SIGNS = {";": 52, "&": 53, "*": 54, "/": 55, ".": 56}

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.sources import binary, blocked, codec, numbered, onecode, records
+from strandframe.sources import binary, blocked, codec, numbered, records, tagged
 from strandframe.sources import schema as S
 
 TYPES = S.genomics()
@@ -84,28 +84,28 @@ S 5 ggggg
 
 def test_pairs(spark, tmp_path):
     at = put(tmp_path / "x.irp", PAIRS)
-    head = onecode.header(spark, at, TYPES)
+    head = tagged.header(spark, at, TYPES)
     assert head.secondary == "irp" and head.provenance == [("made", "1.0", "by hand", "2020-01-01_00:00:00")] and head.counts["+", "S"] == 26
-    table = onecode.lines(spark, at, head.type).cache()
-    rows = onecode.objects(table, head.type).orderBy("obj_ord").collect()
+    table = tagged.lines(spark, at, head.type).cache()
+    rows = tagged.objects(table, head.type).orderBy("obj_ord").collect()
     assert [r.S for r in rows] == ["acgta", "aca", "ccgg", "ttttt", "aaaa", "ggggg"]
     assert [r.P for r in rows] == [True, None] * 3  # a pair mark belongs to the sequence after it
     assert rows[0].I == "r 1a" and [r.group_ord for r in rows] == [0, 0, 0, 0, 1, 1]
-    g = onecode.groups(table, head.type).orderBy("group_ord").collect()
+    g = tagged.groups(table, head.type).orderBy("group_ord").collect()
     assert [(r.g0, r.g1, r.first_obj, r.n_obj) for r in g] == [(2, "lane1", 0, 4), (1, "lane2", 4, 2)]
-    assert [(r.given, r.found) for r in onecode.group_mismatches(table, head.type).orderBy("group_ord").collect()] == [(2, 4), (1, 2)]
-    n = {r.line_type: r for r in onecode.counts(table, head.type).collect()}
+    assert [(r.given, r.found) for r in tagged.group_mismatches(table, head.type).orderBy("group_ord").collect()] == [(2, 4), (1, 2)]
+    n = {r.line_type: r for r in tagged.counts(table, head.type).collect()}
     assert (n["S"].n, n["S"].max_len, n["S"].total_len, n["S"].group_max_n, n["S"].group_max_len) == (6, 5, 26, 4, 17)
-    off = {(r.line_type, r.sign): r.state for r in onecode.count_mismatches(onecode.counts(table, head.type), head).collect()}
+    off = {(r.line_type, r.sign): r.state for r in tagged.count_mismatches(tagged.counts(table, head.type), head).collect()}
     assert ("S", "#") not in off and off["I", "#"] == "missing"
-    note = table.filter("line_type = 'S'").select(onecode.parse(("DNA",), F.col("value"))[1].alias("c")).filter("c is not null").collect()
+    note = table.filter("line_type = 'S'").select(tagged.parse(("DNA",), F.col("value"))[1].alias("c")).filter("c is not null").collect()
     assert [r.c for r in note] == ["with a comment"]
 
 
 def test_sticky_and_lists(spark, tmp_path):
     at = put(tmp_path / "x.aln", "1 3 aln 1 0\n2 3 sxs\nT 100\ng 2 0 \nA 1 2\nI 0 10 0 20 10 0\nW 3 1 -2 3\nA 3 4\nT 50\nA 5 6\nW 0\nX 1 7\n")
-    head = onecode.header(spark, at, TYPES)
-    rows = onecode.objects(onecode.lines(spark, at, head.type), head.type).orderBy("obj_ord").collect()
+    head = tagged.header(spark, at, TYPES)
+    rows = tagged.objects(tagged.lines(spark, at, head.type), head.type).orderBy("obj_ord").collect()
     assert [r["T"] for r in rows] == [100, 100, 50]
     assert rows[0].W == [1, -2, 3] and rows[2].W == [] and rows[2].X == [7] and rows[1].W is None
     assert (rows[0].I.I3, rows[0].I.I4) == (20, 10) and rows[0].group_ord == 0
@@ -115,39 +115,39 @@ def test_sticky_and_lists(spark, tmp_path):
 def test_malformed_lines(spark, tmp_path, body):
     at = put(tmp_path / "x.seq", f"1 3 seq 1 0\nS 1 a\n{body}")
     with pytest.raises(Exception, match="shorter|CAST_INVALID|unknown"):
-        onecode.objects(onecode.lines(spark, at, TYPES["seq"]), TYPES["seq"]).collect()
+        tagged.objects(tagged.lines(spark, at, TYPES["seq"]), TYPES["seq"]).collect()
 
 
 def test_headers_that_do_not_fit(spark, tmp_path):
     with pytest.raises(S.SchemaError):
-        onecode.header(spark, put(tmp_path / "a", "S 1 a\n"))  # says no type
+        tagged.header(spark, put(tmp_path / "a", "S 1 a\n"))  # says no type
     with pytest.raises(S.SchemaError):
-        onecode.header(spark, put(tmp_path / "b", "1 3 seq 2 0\n"), TYPES)
+        tagged.header(spark, put(tmp_path / "b", "1 3 seq 2 0\n"), TYPES)
     with pytest.raises(S.SchemaError):
-        onecode.header(spark, put(tmp_path / "c", "1 3 seq 1 0\n"))  # has no schema
+        tagged.header(spark, put(tmp_path / "c", "1 3 seq 1 0\n"))  # has no schema
     with pytest.raises(S.SchemaError):
-        onecode.header(spark, put(tmp_path / "d", "1 3 seq 1 0\n~ O S 1 6 STRING\n"), TYPES)
+        tagged.header(spark, put(tmp_path / "d", "1 3 seq 1 0\n~ O S 1 6 STRING\n"), TYPES)
     with pytest.raises(S.SchemaError):
-        onecode.header(spark, put(tmp_path / "e", "1 3 seq 1 0\n2 3 zzz\n"), TYPES)
-    assert onecode.header(spark, put(tmp_path / "f", "S 1 a\n"), TYPES, "ctg").type.primary == "seq"
+        tagged.header(spark, put(tmp_path / "e", "1 3 seq 1 0\n2 3 zzz\n"), TYPES)
+    assert tagged.header(spark, put(tmp_path / "f", "S 1 a\n"), TYPES, "ctg").type.primary == "seq"
 
 
 def test_text_round_trip(spark, tmp_path):
     at = put(tmp_path / "x.irp", PAIRS)
-    head = onecode.header(spark, at, TYPES)
-    table = onecode.lines(spark, at, head.type)
-    rows, grp = onecode.objects(table, head.type), onecode.groups(table, head.type)
+    head = tagged.header(spark, at, TYPES)
+    table = tagged.lines(spark, at, head.type)
+    rows, grp = tagged.objects(table, head.type), tagged.groups(table, head.type)
     out = str(tmp_path / "copy")
-    new = onecode.inherit(head, step=("copy", "1.1", "copy x", "2021-01-01_00:00:00"))
-    onecode.write_text(onecode.object_lines(rows, head.type, grp), onecode.header_lines(new, onecode.counts(table, head.type).collect()), out)
-    again = onecode.header(spark, out)  # by the schema that it embeds
+    new = tagged.inherit(head, step=("copy", "1.1", "copy x", "2021-01-01_00:00:00"))
+    tagged.write_text(tagged.object_lines(rows, head.type, grp), tagged.header_lines(new, tagged.counts(table, head.type).collect()), out)
+    again = tagged.header(spark, out)  # by the schema that it embeds
     assert again.type.lines == TYPES["seq"].lines and len(again.provenance) == 2
-    t2 = onecode.lines(spark, out, again.type, whole=True).cache()
+    t2 = tagged.lines(spark, out, again.type, whole=True).cache()
     pick = lambda df: [tuple(r)[1:] for r in df.orderBy("obj_ord").collect()]
-    assert pick(onecode.objects(t2, again.type)) == pick(rows)
-    assert [r.g0 for r in onecode.groups(t2, again.type).orderBy("group_ord").collect()] == [4, 2]  # sizes are computed
-    assert onecode.count_mismatches(onecode.counts(t2, again.type), again).count() == 0
-    assert onecode.group_mismatches(t2, again.type).count() == 0
+    assert pick(tagged.objects(t2, again.type)) == pick(rows)
+    assert [r.g0 for r in tagged.groups(t2, again.type).orderBy("group_ord").collect()] == [4, 2]  # sizes are computed
+    assert tagged.count_mismatches(tagged.counts(t2, again.type), again).count() == 0
+    assert tagged.group_mismatches(t2, again.type).count() == 0
 
 
 def test_every_field_type_round_trips(spark, tmp_path):
@@ -156,8 +156,8 @@ def test_every_field_type_round_trips(spark, tmp_path):
     schema = "obj_ord long, O struct<O0:long,O1:double,O2:string,O3:array<string>>, L struct<L0:array<double>,L1:long>, S struct<S0:string,S1:long>, D string"
     df = spark.createDataFrame(data, schema)
     out = str(tmp_path / "all")
-    onecode.write_text(onecode.object_lines(df, kind), onecode.header_lines(onecode.Header(kind)), out)
-    back = onecode.objects(onecode.lines(spark, out, kind, whole=True), kind).orderBy("obj_ord").select("obj_ord", "O", "L", "S", "D").collect()
+    tagged.write_text(tagged.object_lines(df, kind), tagged.header_lines(tagged.Header(kind)), out)
+    back = tagged.objects(tagged.lines(spark, out, kind, whole=True), kind).orderBy("obj_ord").select("obj_ord", "O", "L", "S", "D").collect()
     assert [tuple(r) for r in back] == [tuple(r) for r in df.collect()]
 
 
@@ -184,12 +184,12 @@ def test_empty_file(spark, tmp_path):
 
 def test_names(tmp_path):
     have = {"a.fastq", "b.1.las", "b.2.las", "b.3.las"}
-    assert onecode.resolve("a", [".fq", ".fastq"], have.__contains__) == "a.fastq"
-    assert onecode.expand_blocks("b.@.las", have.__contains__) == ["b.1.las", "b.2.las", "b.3.las"]
-    assert onecode.expand_blocks("b.@2.las", have.__contains__) == ["b.2.las", "b.3.las"]
-    assert onecode.expand_blocks("b.@1-2.las", have.__contains__) == ["b.1.las", "b.2.las"]
+    assert tagged.resolve("a", [".fq", ".fastq"], have.__contains__) == "a.fastq"
+    assert tagged.expand_blocks("b.@.las", have.__contains__) == ["b.1.las", "b.2.las", "b.3.las"]
+    assert tagged.expand_blocks("b.@2.las", have.__contains__) == ["b.2.las", "b.3.las"]
+    assert tagged.expand_blocks("b.@1-2.las", have.__contains__) == ["b.1.las", "b.2.las"]
     with pytest.raises(FileNotFoundError):
-        onecode.expand_blocks("b.@2-5.las", have.__contains__)
+        tagged.expand_blocks("b.@2-5.las", have.__contains__)
     assert records.one_kind(["a.fq.gz", "b.fastq"]) == "fastq"
     with pytest.raises(ValueError):
         records.one_kind(["a.fq", "b.fasta"])
@@ -265,13 +265,13 @@ def test_binary_round_trip(spark, tmp_path, compressed):
         objects.append(rows)
         want.append((i, i // 10, seq, qual, (i, -i, i * 1000, 0.25), True if i % 2 == 0 else None))
     codes = {"Q": codec.Huffman.trained({ord(c): n for c, n in zip("!IJ", (50, 40, 10))})} if compressed else None
-    head = onecode.Header(kind, "irp", [("made", "1.0", "now", "2020-01-01_00:00:00")])
+    head = tagged.Header(kind, "irp", [("made", "1.0", "now", "2020-01-01_00:00:00")])
     raw = make_binary(kind, head, [], objects, codes)
     path = tmp_path / "x.1irp"
     path.write_bytes(raw)
     for table in (binary.scan(spark, str(path), objects=7), binary.scan_any(spark, f"file://{path}")):
         lined = table.withColumn("line_no", F.col("obj_ord"))
-        got = onecode.objects(lined, kind).orderBy("obj_ord").select("obj_ord", "group_ord", "S", "Q", "W", "P").collect()
+        got = tagged.objects(lined, kind).orderBy("obj_ord").select("obj_ord", "group_ord", "S", "Q", "W", "P").collect()
         assert [(r[0], r[1], r[2], r[3], tuple(r[4]), r[5]) for r in got] == want
         g = sorted(r.value for r in table.filter("line_type = 'g'").collect())
         assert g == [f"g 10 6 lane {i}" for i in range(5)]
@@ -284,7 +284,7 @@ def test_binary_lists(spark, tmp_path):
     kind = S.parse_schema("P 3 all\nO O 2 3 INT 11 STRING_LIST\nD L 1 9 REAL_LIST\nD I 1 8 INT_LIST\nD C 1 4 CHAR\n")["all"]
     rows = [("O", [3, ["a b", "", "c"]]), ("L", [[1.5, -2.25]]), ("I", [[5, -7, 1 << 40]]), ("I", [[9]]), ("I", [[]]), ("C", ["z"])]
     path = tmp_path / "x.all"
-    path.write_bytes(make_binary(kind, onecode.Header(kind), [], [rows], parts=1))
+    path.write_bytes(make_binary(kind, tagged.Header(kind), [], [rows], parts=1))
     got = [r.value for r in binary.scan_any(spark, f"file://{path}").collect()]
     assert got == ["O 3 3 3 a b 0  1 c", "L 2 1.5 -2.25", "I 3 5 -7 1099511627776", "I 1 9", "I 0", "C z"]
 
