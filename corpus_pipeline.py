@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm import langid, neardup, packing, quality, secrets
-from strandframe.llm.common import collecting, drop_tables, durable, held_out, table
+from strandframe.llm.common import collecting, drop_tables, durable, held_out, keep_rows, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _left: list[str] = []  # intermediate tables of the stage before, whose result has been written
@@ -30,10 +30,9 @@ def _stage(work):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with `_sf_key`, which tells repeated rows apart, written so that it stays as it is."""
-    key = F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("row"))
-    return durable(docs.select(*COLUMNS, key.alias("_sf_key")))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with `_sf_row`, a number that tells repeated rows apart, written so that it stays as it is."""
+    return durable(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_sf_row")))
 
 
 @_stage
@@ -53,10 +52,10 @@ def language_id(spark, docs, sf_dir):
 @_stage
 def near_duplicates(spark, docs, sf_dir):
     """Keep one document of each near-duplicate class: the one with the smallest doc_id."""
-    rows = _keyed(docs)
-    found = neardup.classes(rows, "_sf_key", "text")
-    first = durable(found.filter(F.col("key") == F.col("class_id")).select(F.col("key.row").alias("row")))
-    return rows.withColumn("row", F.col("_sf_key.row")).join(first, "row", "left_semi").select(*COLUMNS)
+    rows = _numbered(docs)
+    found = neardup.classes(rows.select(F.struct("doc_id", "_sf_row").alias("id"), "text"), "id", "text")
+    first = found.filter(F.col("key") == F.col("class_id")).select(F.col("key._sf_row").alias("_sf_row"))
+    return keep_rows(rows, "_sf_row", first).select(*COLUMNS)
 
 
 @_stage

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -66,6 +67,33 @@ def collecting(paths: list[str]):
         _scope.pop()
 
 
+#: Words of 64 rows that are broadcast at once, some 50 MB.
+WORDS = 1 << 20
+
+
+def keep_rows(df: DataFrame, row: str, kept: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of a durable() table whose number is in `kept` (one column of the same name), without a shuffle of `df`.
+
+    Numbers are those of monotonically_increasing_id(), dense within each file. They become bits in
+    words of 64, which are broadcast; where there are more than `words`, the table is read in
+    ranges of numbers, each by itself: files outside a range are skipped by their statistics.
+    """
+    word = F.expr(f"`{row}` div 64")
+    bits = durable(kept.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{row}` % 64 as int))")).alias("bits")))
+    n = bits.count()
+    k = max(1, -(-n // words))
+    cuts = bits.approxQuantile("word", [i / k for i in range(1, k)], 0.1 / k) if k > 1 else []
+    edges = [None, *sorted({int(c) for c in cuts}), None]
+    out = []
+    for lo, hi in zip(edges, edges[1:]):
+        within = lambda c, unit: (F.lit(True) if lo is None else c >= lo * unit) & (F.lit(True) if hi is None else c < hi * unit)  # noqa: B023, E731
+        some = df.filter(within(F.col(row), 64)) if k > 1 else df
+        own = bits.filter(within(F.col("word"), 1)) if k > 1 else bits
+        held = some.withColumn("word", word).join(F.broadcast(own), "word")
+        out.append(held.filter(F.expr(f"shiftrightunsigned(bits, cast(`{row}` % 64 as int)) & 1 = 1")).select(*df.columns))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def small(batches, rows: int = 500, size: int = 8 << 20):
     """Arrow batches cut to few rows, and fewer where rows are large, so that a worker holds little."""
     for batch in batches:

@@ -17,8 +17,12 @@ unfilled register is drawn again to twice the time.
 Candidates. 16 bands of 4 registers. Rows of (band, signature) are sorted across the cluster by
 band value, then signature, so that a bucket of any size lies in runs, spread over tasks, with like
 texts side by side. A task walks its run in windows and proposes, for each text, its most similar
-earlier texts by signature. So a bucket of n texts gives at most PROPOSALS * n pairs, and
-no bucket is capped: each text is paired within every bucket that it is in.
+earlier texts by signature; buckets of which it has not proposed all likely pairs it reports as
+open. Once the proposed pairs are verified and classes formed, an open bucket that lies in one
+class has nothing left to find. In the others the texts outside the largest class meet all of the
+bucket, in blocks, and every likely pair across classes is verified there, unless the block has
+already joined the two. So a bucket of n copies costs some n pairs, and yet no likely pair
+between different classes stays unverified, whatever a bucket's size.
 
 Verification compares the multisets of each proposed pair exactly. Classes come from repeated
 minimum labels over the verified pairs, written to the shared folder each round.
@@ -43,10 +47,12 @@ from strandframe.llm.common import durable, small
 WORDS, ENOUGH = 5, 0.8
 BANDS, DEPTH = 16, 4
 REGISTERS = BANDS * DEPTH
-WINDOW = 512  # texts of a bucket that are held side by side
-PROPOSALS = 3  # most similar earlier texts in a window that a text is paired with
+WINDOW = 512  # texts of a bucket that are held side by side in the first pass
+PROPOSALS = 2  # most similar texts of a window that a text is paired with in the first pass
+BLOCK = 512  # texts of an open bucket, on either side, that are held with their bags at once
+NAMED = 2_000_000  # text ids that are broadcast; joined by a shuffle beyond
 FILTERED = 1 << 24  # texts in pairs up to which their Bloom filter, of 64 MB at most, is broadcast
-LIKELY = 0.62  # share of equal registers from which a pair is proposed: some three standard deviations below 0.8
+LIKELY = 0.66  # share of registers with equal half bytes from which a pair is proposed: 3 standard deviations below 0.8
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -70,7 +76,8 @@ def shingles(text: str | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     # word hashes: polynomials over the bytes of one buffer, all words at once
-    raw = np.frombuffer(" ".join(found).encode("utf-8", "surrogatepass"), np.uint8)
+    # each with a space after it, the last one too, so that a word's hash does not tell where it stands
+    raw = np.frombuffer((" ".join(found) + " ").encode("utf-8", "surrogatepass"), np.uint8)
     if len(found) == 1:
         starts = np.zeros(1, np.int64)
     else:
@@ -142,152 +149,234 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
     return out
 
 
-def sign(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, same (16 bytes of the text's hash, null for null), bands array<long>, brief (a byte a register)."""
+def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, same (16 bytes of the text's hash, null for null), bands array<long> (null without words), brief (half a byte a register, then the size of the multiset)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in small(batches, 250, 2 << 20):
             texts = batch.column(1).to_pylist()
-            sig = signatures([shingles(t) for t in texts])
+            bags = [shingles(t) for t in texts]
+            sig = signatures(bags)
             named = np.zeros((len(texts), BANDS), np.uint64)
             for k in range(DEPTH):
                 named = _mix(named * _MULT + sig[:, k::DEPTH][:, :BANDS] + np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD)
             empty = [not t or t.isspace() for t in texts]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(named.view(np.int64).ravel()), mask=pa.array(empty))
-            brief = (sig & np.uint64(255)).astype(np.uint8)
+            half = (sig & np.uint64(15)).astype(np.uint8)
+            size = np.array([b[1].sum() for b in bags], "<u4").view(np.uint8).reshape(-1, 4)
+            brief = np.concatenate([half[:, 0::2] << 4 | half[:, 1::2], size], 1)
             same = [None if t is None else hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), bands, pa.array([b.tobytes() for b in brief], pa.binary())], ["key", "same", "bands", "brief"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, same binary, bands array<long>, brief binary")
 
 
-def proposals(texts: DataFrame) -> DataFrame:
-    """Pairs a, b of `same` that agree in a band and are alike by signature, each once."""
-    rows = texts.filter("bands is not null").select(F.explode("bands").alias("band"), "same", "brief")
-    # by value and signature: a bucket of any size is spread, with like texts side by side
-    sorted_rows = rows.repartitionByRange("band", "brief", "same").sortWithinPartitions("band", "brief", "same")
-
-    def window(same: list, brief: np.ndarray, old: int) -> list[tuple]:
-        """Pairs of rows old.. with earlier rows."""
-        found = []
-        for i in range(max(1, old), len(same)):
-            equal = (brief[:i] == brief[i]).sum(1)
-            likely = np.flatnonzero(equal >= LIKELY * brief.shape[1])
-            if len(likely) > PROPOSALS:
-                likely = likely[np.argsort(-equal[likely], kind="stable")[:PROPOSALS]]
-            found += [(same[j], same[i]) for j in likely]
-        return found
+def _signs(briefs) -> tuple[np.ndarray, np.ndarray]:
+    """A byte a register, and the sizes, from a column of briefs."""
+    b = np.frombuffer(b"".join(briefs.to_pylist()), np.uint8).reshape(len(briefs), REGISTERS // 2 + 4)
+    half = b[:, :-4]
+    return np.stack([half >> 4, half & 15], 2).reshape(len(b), -1), b[:, -4:].copy().view("<u4").ravel().astype(np.float64)
 
-    def run(batches):
-        band, same, brief, old = None, [], np.zeros((0, REGISTERS), np.uint8), 0
-        out: list[tuple] = []
-        for batch in batches:
-            bands = batch.column(0).to_numpy()
-            ids = batch.column(1).to_pylist()
-            briefs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            cuts = np.flatnonzero(np.r_[True, bands[1:] != bands[:-1]]) if len(ids) else []
-            for s, e in zip(cuts, np.r_[cuts[1:], len(ids)] if len(ids) else []):
-                if bands[s] != band:
-                    band, same, brief = bands[s], [], np.zeros((0, REGISTERS), np.uint8)
-                if e - s == 1 and not same:
-                    same, brief = [ids[s]], briefs[s : s + 1]
-                    continue
-                for at in range(s, e, WINDOW):
-                    # half a window of the rows before stays, so that no like neighbours are cut apart
-                    same, brief = same[-WINDOW // 2 :], brief[-WINDOW // 2 :]
-                    old = len(same)
-                    same, brief = same + ids[at : min(e, at + WINDOW)], np.concatenate([brief, briefs[at : min(e, at + WINDOW)]])
-                    out += window(same, brief, old)
-            if len(out) > 10_000:
-                yield pairs(out)
-                out = []
-        yield pairs(out)
 
-    def pairs(found: list[tuple]) -> pa.RecordBatch:
-        found = sorted({(a, b) if a < b else (b, a) for a, b in found if a != b})
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
+def _likely(regs: np.ndarray, sizes: np.ndarray, i_regs: np.ndarray, i_size: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows that may be near duplicates of one, and all rows' equal registers.
 
-    return sorted_rows.mapInArrow(run, "a binary, b binary").distinct()
+    Sizes that differ by more than the similarity allows rule a pair out for certain.
+    """
+    equal = (regs == i_regs).sum(1)
+    fits = np.minimum(sizes, i_size) >= ENOUGH * np.maximum(sizes, i_size)
+    return np.flatnonzero((equal >= LIKELY * REGISTERS) & fits), equal
 
 
-def bag_bytes(docs: DataFrame, text: str) -> DataFrame:
-    """same, bag (hashes, then counts) of each text."""
+def _pair_batch(found: list[tuple], opened: list[int]) -> pa.RecordBatch:
+    pairs = sorted({(a, b) if a < b else (b, a) for a, b in found})
+    opened = sorted(set(opened))
+    none = [None] * len(opened)
+    cols = [[p[0] for p in pairs] + none, [p[1] for p in pairs] + none, [None] * len(pairs) + opened]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "open"])
 
-    def run(batches):
-        for batch in small(batches):
-            bags = []
-            for t in batch.column(1).to_pylist():
-                h, n = shingles(t)
-                bags.append(h.tobytes() + np.minimum(n, 0xFFFFFFFF).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["same", "bag"])
 
-    return docs.select("same", F.col(text).alias("text")).mapInArrow(run, "same binary, bag binary")
+_PROPOSED = "a long, b long, open long"
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard of two bags of bag_bytes()."""
-    (ha, na), (hb, nb) = [(np.frombuffer(x, np.uint64, len(x) // 12), np.frombuffer(x, "<u4", offset=len(x) // 12 * 8).astype(np.int64)) for x in (a, b)]
-    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    both = int(np.minimum(na[i], nb[j]).sum())
-    return both / max(1, int(na.sum() + nb.sum()) - both)
+def _band_rows(texts: DataFrame) -> DataFrame:
+    return texts.filter("bands is not null").select(F.explode("bands").alias("band"), "tid", "brief")
 
 
-def bloom(ids: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """A Bloom filter of 16-byte ids: bits, a power of two near 16 a member, and its 64-bit words.
+def proposals(texts: DataFrame) -> DataFrame:
+    """a, b: pairs of `tid` that agree in a band and are alike by signature; or open: a band with likely pairs left."""
+    # by value and signature: a bucket of any size is spread, with like texts side by side
+    rows = _band_rows(texts).repartitionByRange("band", "brief", "tid").sortWithinPartitions("band", "brief", "tid")
 
-    Words are made by an aggregation, so the driver gets one row a word that has a bit.
+    def run(batches):
+        band, ids, regs, sizes = None, np.zeros(0, np.int64), np.zeros((0, REGISTERS), np.uint8), np.zeros(0)
+        found, opened = [], []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            bands, tids, briefs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            cuts = np.flatnonzero(np.r_[True, bands[1:] != bands[:-1]])
+            ends = np.r_[cuts[1:], n]
+            if band is None:
+                opened.append(int(bands[0]))  # what the border of a task cuts
+            work = np.flatnonzero(ends - cuts > 1)
+            # the first run may go on from the batch before, the last one into the next
+            for k in dict.fromkeys([0, *work.tolist(), len(cuts) - 1]):
+                s, e = int(cuts[k]), int(ends[k])
+                if bands[s] != band:
+                    band, ids, regs, sizes = bands[s], ids[:0], regs[:0], sizes[:0]
+                for at in range(s, e, WINDOW):
+                    stop = min(e, at + WINDOW)
+                    if len(ids) > WINDOW // 2:
+                        # half a window of the rows before stays, so that like neighbours are not cut apart
+                        ids, regs, sizes = ids[-WINDOW // 2 :], regs[-WINDOW // 2 :], sizes[-WINDOW // 2 :]
+                        opened.append(int(band))
+                    old = len(ids)
+                    more, own = _signs(briefs.slice(at, stop - at))
+                    ids, regs, sizes = np.r_[ids, tids[at:stop]], np.concatenate([regs, more]), np.r_[sizes, own]
+                    for i in range(max(1, old), len(ids)):
+                        likely, equal = _likely(regs[:i], sizes[:i], regs[i], sizes[i])
+                        if len(likely) > PROPOSALS:
+                            likely = likely[np.argsort(-equal[likely], kind="stable")[:PROPOSALS]]
+                            opened.append(int(band))
+                        found += [(int(ids[j]), int(ids[i])) for j in likely]
+            if len(found) > 10_000:
+                yield _pair_batch(found, opened)
+                found, opened = [], []
+        if band is not None:
+            opened.append(int(band))
+        yield _pair_batch(found, opened)
+
+    return rows.mapInArrow(run, _PROPOSED).distinct()
+
+
+def bag_bytes(text: str | None) -> bytes:
+    """A text's multiset as a sorted set of 6-byte hashes, of a shingle and the number of its occurrence.
+
+    Intersection and union of such sets have the sizes of those of the multisets. Two of the 48-bit hashes
+    meet by chance in one of a million pairs of texts of 10,000 words, and then count for one shingle.
     """
-    bits = 1 << max(16, (16 * n - 1).bit_length())
-    at = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(F.xxhash64(i, F.col("same")), F.lit(bits)))
-    words = ids.select(F.explode(at).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toArrow()
+    h, n = shingles(text)
+    often = n > 1
+    if often.any():
+        turn = np.arange(n.sum(), dtype=np.uint64) - np.repeat(np.cumsum(n) - n, n).astype(np.uint64)
+        h = np.repeat(h, n)
+        h = np.where(turn > 0, _mix(h + turn * _GOLD), h)
+    return np.unique(h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Weighted Jaccard of two bags of bag_bytes()."""
+    both = []
+    for x in (a, b):
+        wide = np.zeros((len(x) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+        both.append(wide.view("<u8").ravel())
+    union = np.concatenate(both)
+    union.sort()
+    shared = int((union[1:] == union[:-1]).sum())
+    return shared / max(1, len(union) - shared)
+
+
+def _places(n: int) -> tuple[int, Column]:
+    """Bits of a Bloom filter of n 16-byte ids, a power of two near 16 an id, and an id's four places: pieces of it."""
+    bits = 1 << min(28, max(16, (16 * n - 1).bit_length()))
+    piece = lambda i: F.conv(F.hex(F.substring("same", 4 * i + 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(bits - 1))
+    return bits, F.array(*[piece(i) for i in range(4)])
+
+
+def bloom(ids: DataFrame, n: int) -> np.ndarray:
+    """64-bit words of the filter. They are made by an aggregation: the driver gets a row a word that has a bit, 4 million at most."""
+    bits, places = _places(n)
+    words = ids.select(F.explode(places).alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words["word"].to_numpy()] = words["set"].to_numpy()
-    return bits, out.view(np.uint64)
+    return out.view(np.uint64)
 
 
-def _maybe(named: DataFrame, words: np.ndarray) -> DataFrame:
-    """The rows all of whose places are set."""
-    shared, schema = named.sparkSession.sparkContext.broadcast(words), named.drop("at").schema
+def _maybe(words: np.ndarray, same: pa.Array) -> np.ndarray:
+    """Whether all places of each id are set."""
+    raw = np.frombuffer(b"".join(same.to_pylist()), ">u4").reshape(-1, 4).astype(np.int64)
+    at = raw & (64 * len(words) - 1)
+    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
 
-    def run(batches):
-        w = shared.value
-        for batch in batches:
-            at = batch.column(3).flatten().to_numpy().reshape(-1, 4) if batch.num_rows else np.zeros((0, 4), np.int64)
-            keep = ((w[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
-            some = pa.array(keep & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
-            yield batch.select([0, 1, 2]).filter(some)
 
-    return named.filter("n is not null").mapInArrow(run, schema)
+def bags(ids: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """tid, bag of the texts in `ids` (tid, same).
 
+    Only their bags are shuffled, one row a text and task: up to FILTERED texts a Bloom filter of a bounded
+    size keeps the others out where they lie; beyond, the bags of all texts are shuffled once.
+    """
+    n = ids.count()
+    rows = docs.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("same"), F.col(text).alias("text")).filter("same is not null")
+    words = docs.sparkSession.sparkContext.broadcast(bloom(ids, n)) if n <= FILTERED else None
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, key: str, text: str, enough: float = ENOUGH) -> DataFrame:
-    """The pairs whose multisets overlap enough.
+    def run(batches):
+        # filter and bags in one step: a second Python step in a task would be a second process
+        for batch in small(batches):
+            if words is not None:
+                batch = batch.filter(pa.array(_maybe(words.value, batch.column(0))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bag_bytes(t) for t in batch.column(1).to_pylist()], pa.binary())], ["same", "bag"])
+
+    once = rows.mapInArrow(run, "same binary, bag binary").groupBy("same").agg(F.first("bag").alias("bag"))
+    return durable(once.join(ids, "same").select("tid", "bag"))
 
-    The words of a text come from one of its rows, the first by key; joined on text and key, the
-    rows of a much repeated text are spread. Up to FILTERED texts, a Bloom filter of a bounded
-    size keeps the others from the shuffle; beyond, all texts are shuffled once.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
-    wanted = durable(texts.select("same", "first").join(ends, "same"))
-    named = docs.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("n"), F.col(key).alias("k"), F.col(text).alias("text"))
-    n = wanted.count()
-    if n <= FILTERED:
-        bits, words = bloom(wanted, n)
-        # the same places as in bloom(), computed by Spark; the words are looked up in Python
-        at = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(F.xxhash64(i, F.col("n")), F.lit(bits)))
-        named = _maybe(named.withColumn("at", at), words)
-    rows = wanted.join(named, (F.col("n") == F.col("same")) & F.col("k").eqNullSafe(F.col("first"))).select("same", "text")
-    # a repeated row brings its text again; those are some rows of one key
-    once = durable(bag_bytes(rows, "text").groupBy("same").agg(F.first("bag").alias("bag")))
-    both = pairs.join(once.select(F.col("same").alias("a"), F.col("bag").alias("bag_a")), "a").join(once.select(F.col("same").alias("b"), F.col("bag").alias("bag_b")), "b")
+
+def verified(pairs: DataFrame, known: DataFrame, enough: float = ENOUGH) -> DataFrame:
+    """a, b of the pairs whose multisets overlap enough, by the bags in `known`."""
+    side = lambda s: known.select(F.col("tid").alias(s), F.col("bag").alias(f"bag_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bag_a", "bag_b")
 
     def run(batches):
         for batch in small(batches, 2000):
             ok = [similarity(x, y) >= enough for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def further_links(rows: DataFrame, texts: DataFrame, classed: DataFrame, known: DataFrame, enough: float = ENOUGH) -> DataFrame:
+    """a, b: near duplicates across classes in the open bands, whose `rows` are (band, tid, brief).
+
+    `classed` has tid and root of the texts in classes so far. A pair is looked at in the first band
+    that both share, so that no pair is verified twice.
+    """
+    rows = durable(rows.join(classed, "tid", "left").select("band", "tid", "brief", F.coalesce("root", "tid").alias("root")))
+    per = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
+    split = per.groupBy("band").agg(F.count("*").alias("roots"), F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("roots > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    left = durable(rows.join(split.select("band", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("turns")), "band"))
+    needed = left.select("tid").distinct()
+    needed = F.broadcast(needed) if needed.count() <= NAMED else needed
+    # both sides are cut to the texts in question before they meet
+    full = durable(known.join(needed, "tid").join(texts.select("tid", "bands").join(needed, "tid"), "tid"))
+    left = left.join(full, "tid")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("tid"), F.col(n)).cast("int")
+    cols = ["tid", "root", "brief", "bands", "bag"]
+    members = left.select("band", own("blocks").alias("block"), every("turns").alias("turn"), F.lit(False).alias("asks"), *cols)
+    askers = left.filter(F.col("root") != F.col("largest")).select("band", every("blocks").alias("block"), own("turns").alias("turn"), F.lit(True).alias("asks"), *cols)
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks, tid = table["asks"].to_numpy(), table["tid"].to_numpy()
+        root, bag = table["root"].to_numpy().copy(), table["bag"]
+        regs, sizes = _signs(table["brief"])
+        bands = np.array(table["bands"].to_pylist(), np.int64).reshape(-1, BANDS)
+        here, them, a, b = table["band"][0].as_py(), np.flatnonzero(~asks), [], []
+        for i in np.flatnonzero(asks):
+            likely, equal = _likely(regs[them], sizes[them], regs[i], sizes[i])
+            for j in them[likely[np.argsort(-equal[likely], kind="stable")]]:
+                if root[j] == root[i] or bands[i][np.argmax(bands[i] == bands[j])] != here:
+                    continue
+                if similarity(bag[i].as_py(), bag[j].as_py()) >= enough:
+                    a.append(int(tid[i]))
+                    b.append(int(tid[j]))
+                    root[root == root[i]] = root[j]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return members.unionByName(askers).groupBy("band", "block", "turn").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -318,17 +407,34 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def joined_classes(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root with further links: only the roots at their ends, and texts without one, make up the graph to connect."""
+    at = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    new = components(ends.filter("a != b"))
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return durable(moved.unionByName(new.join(roots, "node", "left_anti")))
+
+
 def classes(docs: DataFrame, key: str, text: str, enough: float = ENOUGH) -> DataFrame:
     """key, class_id (the smallest key of its class), same: one row a row of `docs`."""
     signed = durable(sign(docs, key, text))
-    texts = durable(signed.filter("same is not null").groupBy("same").agg(F.min("key").alias("first"), F.first(F.struct("bands", "brief")).alias("s")).select("same", "first", "s.bands", "s.brief"))
-    pairs = durable(proposals(texts))
-    links = verified(pairs, texts, docs, key, text, enough)
-    roots = components(links)
+    one = F.first(F.struct("bands", "brief")).alias("s")
+    texts = signed.filter("same is not null").groupBy("same").agg(F.min("key").alias("first"), one)
+    texts = durable(texts.select(F.monotonically_increasing_id().alias("tid"), "same", "first", "s.bands", "s.brief"))
+    found = durable(proposals(texts))
+    pairs = found.filter("open is null").select("a", "b")
+    opened = found.filter("open is not null").select(F.col("open").alias("band"))
+    rows = durable(_band_rows(texts).join(opened, "band"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("tid")).union(rows.select("tid")).distinct()
+    known = bags(durable(texts.select("tid", "same").join(ids, "tid")), docs, text)
+    roots = components(verified(pairs, known, enough))
+    more = durable(further_links(rows, texts, roots.select(F.col("node").alias("tid"), "root"), known, enough))
+    if more.limit(1).count():
+        roots = joined_classes(roots, more)
     # a large class has many texts of one root: its join is one of plain exchanges, too
-    in_class = texts.select("same", "first").join(roots.withColumnRenamed("node", "same"), "same", "left")
-    in_class = in_class.withColumn("root", F.coalesce("root", "same"))
-    in_class = durable(in_class)
+    in_class = texts.select("tid", "same", "first").join(roots.withColumnRenamed("node", "tid"), "tid", "left")
+    in_class = durable(in_class.select("same", "first", F.coalesce("root", "tid").alias("root")))
     smallest = durable(in_class.groupBy("root").agg(F.min("first").alias("class_id")))
     named = durable(in_class.join(smallest, "root").select("same", "class_id"))
     return signed.select("key", "same").join(named, "same", "left").select("key", F.coalesce("class_id", "key").alias("class_id"), "same")
