@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,7 +27,7 @@ from strandframe.llm.common import small
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _OUTSIDE = regex.compile(r"[\u0300-\U0010ffff]")
 _END = "\x00"
-CACHE_WORDS = 250_000  # entries of the younger generation; the older one holds as many
+CACHE_WORDS = 150_000  # entries of the younger generation; the older one holds as many
 
 
 class _Memo(dict):
@@ -105,17 +105,23 @@ class PrefixBpe:
             raise ValueError(f"the vocabulary lacks bytes: {missing}")
         self.pairs: dict[int, bool] = {}
         self.chunks, self.pieces, self.flat = _Memo(self._chunk), _Memo(self._piece), _Memo(self._flat)
-        self.automaton = ahocorasick.Automaton()
-        for text, i in sorted(vocab.items(), key=lambda x: x[1]):
+        self.vocab = vocab
+
+    @cached_property
+    def automaton(self):
+        """Lists, at each place, the tokens that are suffixes of what was read; longest first."""
+        out = ahocorasick.Automaton()
+        for text, i in sorted(self.vocab.items(), key=lambda x: x[1]):
             if not self._reachable(i):
                 continue
             ends = bool(self.suffix) and text.endswith(self.suffix)
             body = text[: -len(self.suffix)] if ends else text
             if ends or not self.suffix:
-                self.automaton.add_word(body + _END, (i, len(body) + 1))
+                out.add_word(body + _END, (i, len(body) + 1))
             if not ends:
-                self.automaton.add_word(body, (i, len(body)))
-        self.automaton.make_automaton()
+                out.add_word(body, (i, len(body)))
+        out.make_automaton()
+        return out
 
     def _apart(self, left: int, right: int, made: int = 1 << 62) -> bool:
         """No merge crosses the border of `left` and `right` before time `made`.
