@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandframe.llm import ann, bpe, html, langid, neardup, packing, quality, secrets, shards, topk
 from strandframe.llm.common import held_out, table
+from strandframe.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_subword_language(spark, sf_dir):
@@ -57,4 +58,3 @@ def op10_concatenate_and_cut(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_subword_language, op2_bpe_round_trip, op3_byte_cnn_quality, op4_linked_secrets, op5_scored_main_text, op6_norm_pruned_top_k, op7_bagminhash_near_duplicates, op8_learned_partitions, op9_histogram_shards, op10_concatenate_and_cut)}
-ORACLES: dict[str, str] = {}
