@@ -1,8 +1,9 @@
 """Running and neighbouring values over one global order, without a one-task window.
 
 A numeric leading key is cut at approximate quantiles into slices, which one task each can hold.
-Windows run within slices; what crosses a border is a table with one row a slice, which is small
-by construction and broadcast.
+Where one value of it fills more than a slice, the whole order is cut at sampled rows instead, so
+that a hot value spans slices. Windows run within slices; what crosses a border is a table with
+one row a slice, which is small by construction and broadcast.
 """
 
 from __future__ import annotations
@@ -11,14 +12,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SAMPLED = 50  # rows a slice from which borders are chosen; a border may be any tuple, so chance moves no result
+
+
+def _between(df: DataFrame, order: list[str], n: int, rows: int) -> Column:
+    """The number of borders below a row, of n - 1 tuples of the order's columns; strings are cut to 64 letters."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    short = lambda c: F.substring(c, 1, 64).alias(c) if kinds[c].simpleString() == "string" else F.col(c)
+    some = df.select(*order).sample(min(1.0, 1.2 * SAMPLED * n / max(rows, 1)), 17).select(*map(short, order)).orderBy(*order).limit(2 * SAMPLED * n).collect()
+    borders = [some[i * len(some) // n] for i in range(1, n)] if some else []
+    tuples = [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, b)]) for b in borders]
+    if not tuples:
+        return F.lit(0)
+    own = F.struct(*[F.col(c).alias(c) for c in order])
+    return F.size(F.filter(F.array(*tuples), lambda b: b < own))
+
+
 class Ordered:
     """`df` with a slice column; `order` must tell all rows apart, its first key must be `lead`."""
 
     def __init__(self, df: DataFrame, lead: Column, order: list[str], slices: int | None = None):
         n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cuts = df.agg(F.percentile_approx(lead.cast("double"), [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-        at = [float(c) for c in sorted(set(cuts or []))]
-        number = F.size(F.filter(F.array(*[F.lit(c) for c in at]), lambda c: c < lead.cast("double"))) if at else F.lit(0)
+        places = [i / n for i in range(1, n)]
+        rows, cuts = df.agg(F.count("*"), F.percentile_approx(lead.cast("double"), places or [0.5], 10_000)).first()
+        at = sorted(float(c) for c in cuts or []) if n > 1 else []
+        if len(set(at)) < len(at):
+            number = _between(df, order, n, rows)
+        else:
+            number = F.size(F.filter(F.array(*[F.lit(c) for c in at]), lambda c: c < lead.cast("double"))) if at else F.lit(0)
         self.df = df.withColumn("_slice", F.coalesce(number, F.lit(-1)))
         self.order = order
         self.window = Window.partitionBy("_slice").orderBy(*order)

@@ -89,6 +89,20 @@ def test_ordered_against_lists(spark):
         before = k
 
 
+def test_ordered_with_a_hot_key(spark):
+    """A value that fills most rows is cut by the rest of the order."""
+    rng = random.Random(6)
+    rows = [(7 if i % 5 else i, i, rng.choice([None, "a", "b"])) for i in range(2000)]
+    rows.sort(key=lambda r: (r[0], r[1]))
+    o = Ordered(spark.createDataFrame(rows, "h long, i long, k string").repartition(5), F.col("h"), ["h", "i"], slices=8)
+    assert max(r["count"] for r in o.df.groupBy("_slice").count().collect()) < 600
+    got = o.ordinal("n").run_groups(F.col("k"), "g").result().orderBy("h", "i").collect()
+    g = -1
+    for n, (r, row) in enumerate(zip(got, rows)):
+        g += n == 0 or rows[n - 1][2] != row[2]
+        assert (r.h, r.i, r.n, r.g) == (row[0], row[1], n, g)
+
+
 def test_ordered_null_keys(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, None)], "i long, k string")
     got = Ordered(df, F.col("i"), ["i"], slices=3).run_groups(F.col("k"), "g").result().orderBy("i").collect()
