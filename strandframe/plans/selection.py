@@ -252,7 +252,7 @@ SELECT doc_id, length(text) AS n_before, length(text) AS n_after FROM documents
 def mutated_letters(spark, sf_dir):
     from strandframe.functions import samplers
 
-    docs = table(spark, sf_dir, "documents").filter(F.length("text").between(1, 3000)).select("doc_id", X.dna(F.col("text")).alias("s"))
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", X.dna(F.col("text")).alias("s"))
     # substitutions alone keep the length
     m = docs.withColumn("m", samplers.mutate(F.col("s"), F.col("doc_id"), 0.0, 0.0, 0.1))
     return m.select("doc_id", F.length("s").cast("long").alias("n_before"), F.length("m").cast("long").alias("n_after"))

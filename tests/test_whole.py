@@ -22,3 +22,8 @@ def test_fastq_scan_takes_whole_texts(spark, texts):
     got = {r.doc_id: (r.id, r.n, r.seq_md5, r.n_qual) for r in QUERIES["fastq_scan"](spark, texts).collect()}
     seq = {i: re.sub("[^acgt]", "a", t.lower()) for i, t in enumerate(LONG) if t}
     assert got == {i: (f"r{i}", len(s), hashlib.md5(s.encode()).hexdigest(), len(s)) for i, s in seq.items()}
+
+
+def test_mutated_letters_takes_long_texts(spark, texts):
+    got = {r.doc_id: (r.n_before, r.n_after) for r in QUERIES["mutated_letters"](spark, texts).collect()}
+    assert got == {i: (len(t), len(t)) for i, t in enumerate(LONG) if t}
