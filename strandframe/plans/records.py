@@ -81,9 +81,9 @@ WITH r AS (SELECT l_returnflag AS chrom, l_orderkey % 1000 AS pos, CAST(l_quanti
 
 
 def _pile(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    li = table(spark, sf_dir, "lineitem")
     cigar = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("M1I2D3M"))
-    return li.select(F.col("l_returnflag").alias("chrom"), (F.col("l_orderkey") % 1000).alias("pos"), cigar.alias("cigar"), (F.col("l_suppkey") % 3).alias("file"), "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
+    return li.select(F.col("l_returnflag").alias("chrom"), (F.col("l_orderkey") % 1000).alias("pos"), cigar.alias("cigar"), (F.col("l_suppkey") % 3).alias("file"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 @query(f"{_PILE} SELECT chrom, ref_pos, count(*) AS depth, count(*) FILTER (kind = 'D') AS n_del, CAST(0 AS BIGINT) AS n_skip FROM p GROUP BY 1, 2")
@@ -94,7 +94,7 @@ def pileup_depth(spark, sf_dir):
 @query(f"""{_PILE}, c AS (SELECT *, row_number() OVER (PARTITION BY chrom, ref_pos ORDER BY pos, l_orderkey, l_partkey, l_suppkey, l_extendedprice, kind) AS rn FROM p)
 SELECT chrom, ref_pos, count(*) AS depth, count(*) FILTER (kind = 'D') AS n_del, CAST(0 AS BIGINT) AS n_skip FROM c WHERE rn <= 5 GROUP BY 1, 2""")
 def pileup_capped(spark, sf_dir):
-    return align.depth(_pile(spark, sf_dir), cap=5, order=["pos", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "kind"])
+    return align.depth(_pile(spark, sf_dir), cap=5, order=["pos", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "kind"])
 
 
 @query(f"{_PILE} SELECT chrom, ref_pos, count(*) FILTER (file = 0) AS depth_0, count(*) FILTER (file = 1) AS depth_1, count(*) FILTER (file = 2) AS depth_2 FROM p GROUP BY 1, 2")

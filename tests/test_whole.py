@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 
 import pytest
 
@@ -27,3 +28,17 @@ def test_fastq_scan_takes_whole_texts(spark, texts):
 def test_mutated_letters_takes_long_texts(spark, texts):
     got = {r.doc_id: (r.n_before, r.n_after) for r in QUERIES["mutated_letters"](spark, texts).collect()}
     assert got == {i: (len(t), len(t)) for i, t in enumerate(LONG) if t}
+
+
+def test_pileups_take_every_line(spark, tmp_path):
+    rows = [(o, n, 10 * o + n, (3 * o + n) % 7, q, float(100 * n + o), "AN"[o % 2]) for o in range(1, 9) for n, q in ((1, 2), (2, 4), (3, 1), (7, 3))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity int, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    piled = defaultdict(list)
+    for o, n, _, s, q, _, chrom in rows:
+        for i in range(q + 5):
+            piled[chrom, o % 1000 + i].append((o % 1000, o, n, s % 3, "D" if q <= i < q + 2 else "M"))
+    depth = lambda reads: (len(reads), sum(r[4] == "D" for r in reads), 0)
+    got = lambda name: {(r[0], r[1]): tuple(r[2:]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("pileup_depth") == {at: depth(reads) for at, reads in piled.items()}
+    assert got("pileup_capped") == {at: depth(sorted(reads)[:5]) for at, reads in piled.items()}
+    assert got("pileup_multi") == {at: tuple(sum(r[3] == f for r in reads) for f in range(3)) for at, reads in piled.items()}
