@@ -26,7 +26,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a run of hex digits is one match, so that the length test can be in it
 LOGIN = r"""((?i:user(?:_?name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]+)"""
-KEY = r"[A-Za-z0-9+/=]+"
+KEY = r"[A-Za-z0-9+/=]+"  # of the SQL in oracles.py
+LETTERS = r"[A-Za-z0-9+/]+=*"  # '=' is trailing padding only, so that NAME=key leaves the key by itself
 ENDPOINT = r"(?i:https?|ftp|s3|amqp|redis|mongodb|mysql|postgres(?:ql)?)://[A-Za-z0-9][A-Za-z0-9._:@/-]*"
 
 KINDS = ("assign", "access", "hex", "secret", "login", "endpoint")
@@ -77,7 +78,7 @@ def _scanned(text: Column) -> Column:
         _found(text, 0, ASSIGN, lambda v: n(v) >= 6, 2),
         _found(text, 1, ACCESS, lambda v: n(v) >= 20),
         _found(text, 2, HEX),
-        _found(text, 3, KEY, lambda v: (n(v) == 40) & v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")),
+        _found(text, 3, LETTERS, lambda v: (n(v) == 40) & v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")),
         _found(text, 4, LOGIN, lambda v: n(v) >= 3, 2),
         _found(text, 5, ENDPOINT),
     ]

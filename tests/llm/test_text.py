@@ -129,6 +129,16 @@ def test_linked_parts(spark):
     assert secrets.scan(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_key_after_its_name(spark):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEK0"
+    texts = [f"AWS_ACCESS_KEY_ID=AKIA{'F' * 16}\nAWS_SECRET_ACCESS_KEY={key}\n", f"AWS_SECRET_ACCESS_KEY={key}\n", f"AKIA{'G' * 16} KEY={key[:36]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.scan(df, "doc_id", "text", carry=("text",)).select("key", "spans", secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()
+    found = {r.key: [(s.name, texts[r.key][s.start : s.end]) for s in r.spans] for r in rows}
+    assert found == {0: [("access", "AKIA" + "F" * 16), ("secret", key)], 1: [], 2: [("access", "AKIA" + "G" * 16)]}
+    assert {r.key: r.t for r in rows}[0] == "AWS_ACCESS_KEY_ID=[SECRET]\nAWS_SECRET_ACCESS_KEY=[SECRET]\n"
+
+
 # --- pages ---------------------------------------------------------------------------------
 
 LONG = "This is a long paragraph, with commas, that carries the story of the page and goes on for a while, so it counts."
