@@ -7,8 +7,9 @@ those siblings that score near it, or that are text with few links. Menus, heade
 asides, forms, scripts, styles, notices, adverts and reader comments are taken out first, by
 element and by the words in class, id and role.
 
-Text: character references are decoded, white space inside a block becomes one space, blocks are
-trimmed and joined in page order by one newline. Null, empty and text-less pages give an empty
+Text: character references are decoded in each stretch between tags, white space inside a block becomes one space, blocks are
+trimmed and joined in page order by one newline. A quote opens a value only after `=`; a tag that
+the page's end cuts off has no text. Null, empty and text-less pages give an empty
 text. Broken and truncated markup is closed at the end of the page; nesting of any depth is
 walked without recursion. Repeated rows give the same text. The whole page is read.
 """
@@ -24,11 +25,10 @@ from pyspark.sql import functions as F
 
 from strandframe.llm.common import small
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
-    re.S,
-)
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
+#: An attribute: a name, and after `=` a quoted value or one that white space or `>` ends. A quote elsewhere opens nothing.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)", re.S)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^\s>"'][^\s>]*+))?+)?+""")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85   -     　]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noframes template svg math".split())
@@ -63,8 +63,12 @@ def _judge(tag: str, attrs: str) -> tuple[bool, float]:
     """Whether an element is taken out, and its bonus."""
     out, bonus = tag in _OUT, {"article": 25.0, "main": 20.0, "section": 2.0, "div": 2.0, "td": 1.0}.get(tag, 0.0)
     if attrs and not attrs.isspace():
+        seen = set()
         for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), a or b or c
+            name, value = name.lower(), entities.unescape(a or b or c)
+            if name in seen:
+                continue  # the first of a name counts
+            seen.add(name)
             if name == "role":
                 out |= value.strip().lower() in _BAD_ROLE
                 bonus += 20 * (value.strip().lower() in ("main", "article"))
@@ -92,10 +96,10 @@ def parse(page: str) -> Node:
     while pos < end:
         m = find(page, pos)
         if m is None:
-            at.kids.append(page[pos:])
+            at.kids.append(entities.unescape(page[pos:]))
             break
         if m.start() > pos:
-            at.kids.append(page[pos : m.start()])
+            at.kids.append(entities.unescape(page[pos : m.start()]))
         pos = m.end()
         tag = m[2]
         if tag is None:
@@ -191,9 +195,6 @@ def _points(node: Node) -> float:
 def best_nodes(root: Node) -> list[Node]:
     """The best container and the siblings that go with it, in page order."""
     order = _measure(root)
-    named = [n for n in order if n.tag == "article" and n.size]
-    if len(named) == 1 and named[0].links < 0.7 * named[0].size and 2 * named[0].size >= sum(n.size for n in order if n.tag == "p" and not _within(n, named[0])):
-        return named  # the page says what its one article is
     for node in order:
         own = sum(len(k.strip()) for k in node.kids if type(k) is str)
         if node.tag in _PARAGRAPH and node.size or (node.tag in ("div", "section", "article", "main", "body") and own >= 25):
@@ -225,19 +226,13 @@ def best_nodes(root: Node) -> list[Node]:
     return kept
 
 
-def _within(node: Node, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is not None
-
-
 def blocks(nodes: list[Node]) -> list[str]:
     """The text of each block below the nodes, in page order."""
     found: list[str] = []
     run: list[str] = []
 
     def cut():
-        text = _SPACE.sub(" ", entities.unescape("".join(run))).strip(" ")
+        text = _SPACE.sub(" ", "".join(run)).strip(" ")
         run.clear()
         if text:
             found.append(text)
