@@ -42,16 +42,19 @@ def width(rows: DataFrame) -> int:
     return low or 0
 
 
-def query_blocks(queries: DataFrame, size: int = QUERIES_A_BLOCK):
-    """Blocks of (ids, matrix), one at a time; a repeated id is asked once, with its smallest vector."""
-    asked = queries.groupBy("id").agg(F.min("vec").alias("vec"))
-    n = asked.count()
-    parts = max(1, math.ceil(1.1 * n / size))
-    for part in range(parts if n else 0):
-        mine = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(parts)) == part)
-        got = mine.select("id", "vec").orderBy("id").toArrow()
+def query_blocks(queries: DataFrame, pieces: int | None = None, size: int = QUERIES_A_BLOCK):
+    """Blocks of (ids, matrix, rows of each id), one at a time; a repeated id is asked once, with its smallest vector.
+
+    The queries are dealt by a hash into as many `pieces`, or as many as `size` asks for.
+    """
+    asked = queries.groupBy("id").agg(F.min("vec").alias("vec"), F.count("*").alias("times"))
+    if pieces is None:
+        pieces = math.ceil(1.1 * asked.count() / size)
+    for piece in range(pieces):
+        mine = asked if pieces == 1 else asked.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(pieces)) == piece)
+        got = mine.select("id", "vec", "times").orderBy("id").toArrow()
         if got.num_rows:
-            yield got["id"].to_numpy(), matrix(got["vec"].combine_chunks())
+            yield got["id"].to_numpy(), matrix(got["vec"].combine_chunks()), got["times"].to_numpy()
 
 
 class Best:

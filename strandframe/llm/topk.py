@@ -7,7 +7,8 @@ its best k; for those, a partial sum over the leading coordinates plus the produ
 remaining lengths, by Cauchy and Schwarz, bounds the score, and only candidates whose bound
 reaches the query's k-th best are scored, exactly, in integers.
 
-A first job over the longest vectors alone gives each query a floor to prune by from the start.
+A first job over the longest vectors alone gives each query a floor to prune by from the start;
+files whose longest vector is too short for every query of a block are not read.
 Ties go to the smaller id. Null, empty and non-finite vectors take no part; vectors of several
 lengths are an error. A repeated row is a candidate as often as it occurs, and a query's own id
 is never its candidate. An empty table or query set gives no rows.
@@ -33,18 +34,25 @@ def quantised(rows: DataFrame, scale: int = 1024) -> DataFrame:
     return rows.withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("long")))
 
 
-def gram(rows: DataFrame, d: int) -> np.ndarray:
-    """Sum of the outer products of all vectors: one d x d matrix a task, added by the driver."""
+def gram(rows: DataFrame, d: int, last: int = 16) -> np.ndarray:
+    """Sum of the outer products of all vectors: one d x d matrix a task, added up by `last` tasks, then by the driver."""
 
     def run(batches):
         total = np.zeros((d, d))
         for batch in batches:
             m = matrix(batch.column(0)).astype(np.float64)
             total += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(range(d * d), pa.int32()), pa.array(total.ravel())], ["at", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
 
-    sums = rows.select("vec").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
-    return np.array([r[1] for r in sums]).reshape(d, d) if sums else np.eye(d)
+    def add(batches):
+        total = np.zeros(d * d)
+        for batch in batches:
+            for raw in batch.column(0):
+                total += np.frombuffer(raw.as_buffer(), np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
+
+    sums = rows.select("vec").mapInArrow(run, "sum binary").repartition(last).mapInArrow(add, "sum binary").collect()
+    return sum((np.frombuffer(r[0]) for r in sums), np.zeros(d * d)).reshape(d, d)
 
 
 def rotation(g: np.ndarray) -> np.ndarray:
@@ -111,11 +119,14 @@ def exact_top_k(vectors: DataFrame, key: str, vector: str, is_query: Column, k:
     turn = rotation(gram(stored, d))
     first = stored.orderBy(F.col("norm2").desc(), "id").limit(FIRST).select("id", "vec").toArrow()
     first_ids, first_vectors = first["id"].to_numpy(), matrix(first["vec"].combine_chunks())
-    for block in query_blocks(stored.filter(is_query)):
-        start = Searcher(*block, turn, np.full(len(block[0]), np.iinfo(np.int64).min), k)
+    for ids, queries, _ in query_blocks(stored.filter(is_query)):
+        start = Searcher(ids, queries, turn, np.full(len(ids), np.iinfo(np.int64).min), k)
         start.see(first_ids, first_vectors)
-        args = (*block, turn, start.best.floor(), k)
-        out = out.unionByName(scan_block(stored.select("id", "vec"), args, _task, k, "long"))
+        floor = start.best.floor()
+        # shorter vectors than this cannot enter any query's best: files of such are not read
+        least = float((np.maximum(floor.astype(np.float64), 0) / np.maximum(start.norm, 1e-300)).min()) * (1 - 1e-9)
+        long_enough = stored.filter(F.col("norm2") >= least * least) if least > 0 else stored
+        out = out.unionByName(scan_block(long_enough.select("id", "vec"), (ids, queries, turn, floor, k), _task, k, "long"))
     return out
 
 
