@@ -7,10 +7,12 @@ and layer are trained together in numpy by stochastic gradient descent with mome
 temperature is then fitted on labelled texts that training has not seen, and the rejection level
 is the calibrated probability that all but `lose` of the rightly classified ones reach.
 
-Null texts and texts without a letter are `und` with score 0 and are rejected. Whole texts are
-read, in slices where long, so memory is bounded. Repeated rows get the same answer. Without a
-labelled row every text is `und`. The fit reads at most `PER_LANGUAGE` labelled texts a
-language, chosen by a hash of the id; the prediction reads the text alone.
+Null texts and texts without a letter (of Unicode's kinds L) are `und` with score 0 and are
+rejected. Whole texts are read, in slices where long, so memory is bounded. Repeated rows get the
+same answer. Without a labelled row every text is `und`. The fit takes at most `PER_LANGUAGE`
+labelled texts a language, chosen by a hash of the id, of an id the smallest; tasks turn them into
+shares of buckets, so that the driver gets some 50 KB a text at most, whatever its length. The
+prediction reads the text alone.
 """
 
 from __future__ import annotations
@@ -28,11 +30,15 @@ from strandframe.llm.common import small
 PER_LANGUAGE = 500  # labelled texts of each language that the fit may read
 BUCKETS = 1 << 13
 SLICE = 1 << 16  # bytes that are hashed at once
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERLIKE = re.compile(r"[^\W\d_]")  # letters, and numerals such as ² or Ⅷ
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 _ASCII = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in _LETTERLIKE.finditer(text))
+
+
 def _slices(raw: np.ndarray):
     """Pieces of at most SLICE bytes which overlap, so that each n-gram lies whole in one."""
     for at in range(0, max(1, len(raw) - 4), SLICE):
@@ -83,20 +89,20 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether it is rejected."""
-        if not text or not self.languages or _LETTER.search(text) is None:
+        if not self.languages or not has_letter(text):
             return "und", 0.0, True
         p = self.probabilities(histogram(text))
         best = int(p.argmax())
         return self.languages[best], float(p[best]), bool(p[best] < self.level)
 
 
-def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 30, batch: int = 32, rate: float = 30.0, lose: float = 0.002, seed: int = 7) -> Model:
-    """Fit on labelled texts; every fifth is kept for calibration."""
+def train(texts: list, labels: list[str], dim: int = 16, epochs: int = 30, batch: int = 32, rate: float = 30.0, lose: float = 0.002, seed: int = 7) -> Model:
+    """Fit on labelled texts, or their histograms; every fifth is kept for calibration."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     rng = np.random.default_rng(seed)
-    x = np.stack([histogram(t) for t in texts])
+    x = np.stack([histogram(t) if isinstance(t, str) else t for t in texts])
     y = np.array([languages.index(v) for v in labels])
     order = rng.permutation(len(y))
     held = order[: len(y) // 5] if len(y) >= 20 else order
@@ -139,35 +145,57 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 30,
     return model
 
 
-def chosen(rows: DataFrame, key: str, label: str, each: int, salt: int = 17) -> DataFrame | None:
-    """The rows whose hashed id lies below their label's threshold: some `each` rows a label.
+def chosen(rows: DataFrame, label: str, each: int, key: str, salt: int = 17) -> DataFrame | None:
+    """Some `each` ids a label, those whose hash is smallest, with that hash as `hash_`: one row an id, of its smallest values.
 
-    A pass over id and label counts the labels (one row each); no window holds a label's rows.
+    A pass counts the labels' ids (one row each). A label's share of the hash's whole range is at
+    least what holds one expected id in any number of them; no window holds a label's rows, and an
+    id of any number of rows is aggregated before it is shuffled.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    counts = {r[0]: max(1, r[1]) for r in rows.groupBy(label).agg(F.approx_count_distinct(key)).collect()}
     if not counts:
         return None
-    share = F.lit(0)
+    most = F.lit(None).cast("long")
     for name, n in counts.items():
-        share = F.when(F.col(label) == name, F.lit(int(min(1.0, 1.1 * each / n) * 1_000_000))).otherwise(share)
-    return rows.filter(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1_000_000)) < share).limit(2 * each * len(counts))
+        most = F.when(F.col(label) == name, F.lit(min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 1.2 * each / n))))).otherwise(most)
+    hashed = rows.withColumn("hash_", F.xxhash64(F.lit(salt), key)).filter(F.col("hash_") <= most)
+    others = [c for c in rows.columns if c != label]
+    return hashed.groupBy(label, "hash_").agg(*[F.min(c).alias(c) for c in others])
 
 
 def by_label(rows: list, each: int) -> tuple[list[str], list]:
-    """Texts and labels of (text, label, key) rows: the first `each` by key of each label."""
+    """Values and labels of (value, label, hash) rows: the first `each` by hash of each label."""
     taken: dict = {}
-    for t, name, k in sorted(rows, key=lambda r: (str(r[1]), r[2] is not None, r[2] or 0, r[0] or "")):
+    for value, name, _ in sorted(rows, key=lambda r: (str(r[1]), r[2])):
         if len(taken.setdefault(name, [])) < each:
-            taken[name].append(t)
+            taken[name].append(value)
     return [t for v in taken.values() for t in v], [n for n, v in taken.items() for _ in v]
 
 
-def sample(docs: DataFrame, key: str, text: str, label: str, where: Column, each: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """At most `each` whole texts of each label."""
-    rows = chosen(docs.filter(where & F.col(label).isNotNull()).select(text, label, key), key, label, each)
+def sample(docs: DataFrame, key: str, text: str, label: str, where: Column, each: int = PER_LANGUAGE) -> tuple[list[np.ndarray], list[str]]:
+    """Histograms of at most `each` whole texts of each label, made by the tasks."""
+    known = docs.filter(where & F.col(label).isNotNull()).select(F.col(key).alias("key_"), F.col(text).alias("text_"), F.col(label).alias("label_"))
+    rows = chosen(known, "label_", each, "key_")
     if rows is None:
         return [], []
-    return by_label([r for r in rows.collect() if r[0] and _LETTER.search(r[0])], each)
+
+    def run(batches):
+        for batch in small(batches):
+            own = [i for i, t in enumerate(batch.column(0).to_pylist()) if has_letter(t)]
+            found = [histogram(batch.column(0)[i].as_py()) for i in own]
+            places = [np.flatnonzero(h) for h in found]
+            raw = [pa.array([v.astype(kind).tobytes() for v in part], pa.binary()) for part, kind in ((places, "<u2"), ([h[p] for h, p in zip(found, places)], "<f4"))]
+            yield pa.RecordBatch.from_arrays([*raw, batch.column(1).take(pa.array(own, pa.int64())), batch.column(2).take(pa.array(own, pa.int64()))], ["at", "share", "label_", "hash_"])
+
+    kind = known.schema["label_"].dataType.simpleString()
+    got = rows.select("text_", "label_", "hash_").mapInArrow(run, f"at binary, share binary, label_ {kind}, hash_ long").collect()
+    values, labels = by_label([((r[0], r[1]), r[2], r[3]) for r in got], each)
+    out = []
+    for at, share in values:
+        whole = np.zeros(BUCKETS, np.float32)
+        whole[np.frombuffer(at, "<u2")] = np.frombuffer(share, "<f4")
+        out.append(whole)
+    return out, labels
 
 
 def fit(docs: DataFrame, key: str, text: str, label: str, where: Column) -> Model:
