@@ -7,8 +7,11 @@ reported only where a complementary part lies within the same scope: at most `re
 points away, ends to starts. The link is an interval join within each document, made by a plane
 sweep over the ordered spans, forward and backward: running extremes carry the nearest complementary
 part on either side. No pair of parts is ever emitted. All of it is column expressions of one row, so a
-document stays where it is read and nothing is shuffled. Appending to an array copies its
-references: a document of 100,000 spans costs some seconds, one of 1,000 nothing to speak of.
+document stays where it is read and nothing is shuffled. A fold that appends to an array copies it
+each time; folds therefore run over stretches of STRETCH elements, each of which starts from the
+state that the one before left, so that the cost grows with the number of spans (measured on one
+core: scan and redaction of 80,000 spans in 2.5 million letters in 16 s, of 20,000 in 8 s, of which
+5 s are the plan's own).
 
 Positions come from split() and regexp_extract_all() with the same expression: the lengths of
 the gaps and of the matches add up to starts and ends in code points. Null text has no spans.
@@ -26,8 +29,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a run of hex digits is one match, so that the length test can be in it
 LOGIN = r"""((?i:user(?:_?name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]+)"""
-KEY = r"[A-Za-z0-9+/=]+"  # of the SQL in oracles.py
-LETTERS = r"[A-Za-z0-9+/]+=*"  # '=' is trailing padding only, so that NAME=key leaves the key by itself
+KEY = r"[A-Za-z0-9+/]+=*"  # of the SQL in oracles.py, where a match must have 40 letters: '=' is padding only, so that NAME=key leaves the key by itself
+LETTERS = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"  # the same, for expressions that can look around
 ENDPOINT = r"(?i:https?|ftp|s3|amqp|redis|mongodb|mysql|postgres(?:ql)?)://[A-Za-z0-9][A-Za-z0-9._:@/-]*"
 
 KINDS = ("assign", "access", "hex", "secret", "login", "endpoint")
@@ -37,11 +40,44 @@ NEEDS = {"secret": (1,), "login": (0,), "endpoint": (0, 1)}
 REACH = 300
 
 
+#: Elements of an array that one fold appends to one by one.
+STRETCH = 32
+
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _none() -> Column:
-    return F.array().cast(_SPAN)
+def _none(kind: str = _SPAN) -> Column:
+    return F.array().cast(kind)
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _stretches(items: Column, size: int = 0) -> Column:
+    """An array cut into arrays of `size` or STRETCH elements; one empty array of an empty one."""
+    size = size or STRETCH
+    last = lambda whole: F.floor(F.greatest(F.size(whole) - 1, F.lit(0)) / size).cast("int")
+    return _once(items, lambda whole: F.transform(F.sequence(F.lit(0), last(whole)), lambda i: F.slice(whole, i * size + 1, F.lit(size))))
+
+
+def _running(items: Column, zero: Column, step, kind: str) -> Column:
+    """`out` of each step, in order, without nulls: step(state, item) gives struct(state, out), and `state` goes to the next item.
+
+    `kind` is the type of the array of `out`. A fold copies all that it carries in each step: the
+    first one, over the stretches, carries their states alone, the second one the `out` of one stretch.
+    """
+
+    def one(a, x):
+        new = step(a["state"], x)
+        return F.struct(new["state"].alias("state"), F.concat(a["out"], F.array(new["out"])).alias("out"))
+
+    def whole(cut):
+        states = F.aggregate(cut, F.array(zero), lambda done, some: F.concat(done, F.array(F.aggregate(some, F.element_at(done, -1), lambda a, x: step(a, x)["state"]))))
+        return _once(states, lambda s: F.flatten(F.transform(cut, lambda some, i: F.aggregate(some, F.struct(s[i].alias("state"), _none(kind).alias("out")), one, lambda a: a["out"]))))
+
+    return F.filter(_once(_stretches(items), whole), lambda v: v.isNotNull())
 
 
 def _found(text: Column, kind: int, pattern: str, keep=None, group: int = 0) -> Column:
@@ -50,17 +86,15 @@ def _found(text: Column, kind: int, pattern: str, keep=None, group: int = 0) ->
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.regexp_extract_all(text, p, F.lit(0))
     tested = whole if group == 0 else F.regexp_extract_all(text, p, F.lit(group))
-    rows = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), tested.alias("tested"))
-    rows = F.filter(rows, lambda x: x["whole"].isNotNull())  # the gap after the last match
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), _none().alias("out"))
+    rows = F.arrays_zip(gaps.alias("gap"), F.transform(whole, F.length).alias("n"), F.transform(tested, keep or (lambda v: F.lit(True))).alias("ok"))
+    rows = F.filter(rows, lambda x: x["n"].isNotNull())  # the gap after the last match
 
-    def step(a, x):
-        start = a["at"] + x["gap"]
-        end = start + F.length(x["whole"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), (F.concat(a["out"], span) if keep is None else F.when(keep(x["tested"]), F.concat(a["out"], span)).otherwise(a["out"])).alias("out"))
+    def step(at, x):
+        start = at + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("end"))
+        return F.struct((start + x["n"]).alias("state"), F.when(x["ok"], span).alias("out"))
 
-    return F.when(F.col(f"has_{KINDS[kind]}"), F.aggregate(rows, zero, step, lambda a: a["out"])).otherwise(_none())
+    return F.when(F.col(f"has_{KINDS[kind]}"), _running(rows, F.lit(0).cast("bigint"), step, _SPAN)).otherwise(_none())
 
 
 def _tested(df: DataFrame, text: Column) -> DataFrame:
@@ -78,7 +112,7 @@ def _scanned(text: Column) -> Column:
         _found(text, 0, ASSIGN, lambda v: n(v) >= 6, 2),
         _found(text, 1, ACCESS, lambda v: n(v) >= 20),
         _found(text, 2, HEX),
-        _found(text, 3, LETTERS, lambda v: (n(v) == 40) & v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")),
+        _found(text, 3, LETTERS, lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")),
         _found(text, 4, LOGIN, lambda v: n(v) >= 3, 2),
         _found(text, 5, ENDPOINT),
     ]
@@ -88,10 +122,8 @@ def _scanned(text: Column) -> Column:
 
 def _swept(spans: Column, reach: int, forward: bool) -> Column:
     """The spans with near0, near1 and covered set where the nearest assign, access or base span on one side says so."""
-    flags = "boolean"
-    kinds = f"array<struct<start:bigint,kind:int,end:bigint,near0:{flags},near1:{flags},covered:{flags}>>"
     far = -(1 << 60) if forward else 1 << 60
-    zero = F.struct(*[F.lit(far).cast("bigint").alias(c) for c in ("e0", "e1", "eb")], F.array().cast(kinds).alias("out"))
+    zero = F.struct(*[F.lit(far).cast("bigint").alias(c) for c in ("e0", "e1", "eb")])
     further = F.greatest if forward else F.least
 
     def step(a, s):
@@ -102,14 +134,16 @@ def _swept(spans: Column, reach: int, forward: bool) -> Column:
         near = lambda e: (s["start"] - e <= reach) if forward else (e - s["end"] <= reach)
         over = (eb > s["start"]) if forward else (eb < s["end"])
         one = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), (s["near0"] | near(e0)).alias("near0"), (s["near1"] | near(e1)).alias("near1"), (s["covered"] | over).alias("covered"))
-        return F.struct(e0.alias("e0"), e1.alias("e1"), eb.alias("eb"), F.concat(a["out"], F.array(one)).alias("out"))
+        return F.struct(F.struct(e0.alias("e0"), e1.alias("e1"), eb.alias("eb")).alias("state"), one.alias("out"))
 
-    return F.aggregate(spans, zero, step, lambda a: a["out"])
+    return _running(spans, zero, step, "array<struct<start:bigint,kind:int,end:bigint,near0:boolean,near1:boolean,covered:boolean>>")
 
 
 def _linked(spans: Column, reach: int) -> Column:
     """Base spans, and weak ones with a complementary part within reach and no base span over them."""
     no = F.lit(False)
+    # a document without a weak span has nothing to link
+    weak = F.exists(spans, lambda s: s["kind"] >= BASE)
     flagged = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), no.alias("near0"), no.alias("near1"), no.alias("covered")))
     swept = F.reverse(_swept(F.reverse(_swept(flagged, reach, True)), reach, False))
 
@@ -120,7 +154,7 @@ def _linked(spans: Column, reach: int) -> Column:
         return out
 
     kept = F.transform(F.filter(swept, keep), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return F.when(F.size(spans) > 0, kept).otherwise(spans)
+    return F.when(weak, kept).otherwise(spans)
 
 
 def _none_named() -> Column:
@@ -151,17 +185,25 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones as one, replaced by a mark."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with every span, overlapping ones as one, replaced by a mark.
 
-    def step(a, s):
-        gap = F.substr(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+    Spans that overlap or touch one before become cuts of the text: what stays, from `at` to
+    `start`, before each mark. A stretch of cuts is taken out of the text once, then each cut out of it.
+    """
+    kind = "array<struct<at:bigint,start:bigint>>"
+
+    def step(at, s):
         # a span that begins before the last one's end only lengthens it
-        return F.when(s["end"] <= a["at"], a).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.when((s["start"] >= a["at"]) & (s["start"] >= 0), F.array(gap, F.lit(mark))).otherwise(F.array().cast("array<string>"))).alias("out"))
-        )
-
-    return F.when(
-        F.size(spans) > 0,
-        F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text)))),
-    ).otherwise(text)
+        cut = F.struct(at.alias("at"), s["start"].alias("start"))
+        return F.struct(F.greatest(at, s["end"]).alias("state"), F.when((s["start"] >= at) & (s["end"] > at), cut).alias("out"))
+
+    cuts = _running(spans, F.lit(0).cast("bigint"), step, kind)
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+
+    def stretch(some):
+        lo, hi = some[0]["at"], F.element_at(some, -1)["start"]
+        piece = lambda p: F.array_join(F.transform(some, lambda c: F.concat(F.substr(p, c["at"] - lo + 1, c["start"] - c["at"]), F.lit(mark))), "")
+        return _once(F.substr(text, lo + 1, hi - lo), piece)
+
+    kept = F.transform(F.filter(_stretches(cuts, 16 * STRETCH), lambda some: F.size(some) > 0), stretch)
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(kept, ""), F.substr(text, end + 1, F.length(text)))).otherwise(text)
