@@ -27,25 +27,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; a local one only where that is unset and Spark is local, as in tests."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="strandframe-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write `df` once under the shared folder and return a scan of it.
 
     Cuts lineage, so that a lost executor costs one re-read instead of a recomputation, and
-    fixes values such as monotonically_increasing_id. Files stay for the life of the result.
+    fixes values such as monotonically_increasing_id. Files stay for the life of the result, but
+    for those of a scratch() block, which go with the block unless they are `lasting`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandframe/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scope:
-        _scope[-1].append(path)
+    if own := _scope[: len(_scope) - lasting]:
+        own[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,6 +70,17 @@ def collecting(paths: list[str]):
         _scope.pop()
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that durable() writes inside are dropped at the end, but for lasting ones, which belong to the block around."""
+    own: list[str] = []
+    try:
+        with collecting(own):
+            yield
+    finally:
+        drop_tables(spark, own)
+
+
 #: Words of 64 rows that are broadcast at once, some 50 MB.
 WORDS = 1 << 20
 

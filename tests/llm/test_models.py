@@ -159,6 +159,40 @@ def test_signatures_are_unbiased():
     assert (neardup.signatures([(np.zeros(0, np.uint64), np.zeros(0, np.int64))]) == 0).all()
 
 
+def test_briefs_tell_texts_apart(spark):
+    """Half bytes of unlike texts agree by chance alone; those of near copies stay above the likeness test."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    base = [[rng.choice(words) for _ in range(300)] for _ in range(40)]
+    near = [t[:-30] + [rng.choice(words) for _ in range(27)] for t in base]  # some 0.8
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(base + near)], "doc_id long, text string")
+    got = {r.key: r.brief for r in neardup.sign(rows, "doc_id", "text").collect()}
+    import pyarrow as pa
+
+    regs, _ = neardup._signs(pa.array([bytes(got[i]) for i in range(80)]))
+    far = np.mean([(regs[i] == regs[j]).mean() for i in range(40) for j in range(i)])
+    like = [(regs[i] == regs[i + 40]).mean() for i in range(40)]
+    assert far < 0.1 and min(like) >= neardup.LIKELY and 0.75 < np.mean(like) < 0.9
+
+
+def test_near_copies_at_the_border(spark, monkeypatch):
+    """Large buckets of texts of similarity about 0.8 to each other, with small windows and blocks: classes equal brute force."""
+    for name, value in (("WINDOW", 8), ("BLOCK", 8), ("STEPS", (1, 2, None))):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    texts = {}
+    for _ in range(4):
+        base = [rng.choice(words) for _ in range(120)]
+        for _ in range(45):
+            t = list(base)
+            for _ in range(rng.choice([1, 2, 2, 3])):
+                t[rng.randrange(120)] = rng.choice(words)
+            texts[len(texts)] = " ".join(t)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r.key: r.class_id for r in neardup.classes(docs, "doc_id", "text").collect()} == brute(texts)
+
+
 def test_bags_measure_multisets():
     rng = random.Random(4)
     for _ in range(50):
@@ -207,7 +241,7 @@ def test_large_groups_and_chains(spark):
 
 def test_near_duplicate_edges(spark):
     got = [(r.key, r.class_id) for r in neardup.classes(odd(spark).withColumn("bands", F.lit(1)), "doc_id", "text").orderBy("key").collect()]
-    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (7, 7)]
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (7, 7), (9, 9)]
     nulls = spark.createDataFrame([(1, None), (2, None), (4, ""), (3, "")], "doc_id long, text string")
     assert sorted((r.key, r.class_id) for r in neardup.classes(nulls, "doc_id", "text").collect()) == [(1, 1), (2, 2), (3, 3), (4, 3)]
     assert neardup.classes(nulls.limit(0), "doc_id", "text").count() == 0
