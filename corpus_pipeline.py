@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is written as
 Parquet and read again before the next. Stages 1 to 4 return the columns of `documents`; models
 are fitted on the labelled rows of the source tables. Null texts are rejected by the language
-stage; repeated rows are copies, of which the near-duplicate stage keeps one.
+stage; repeated rows are copies, of which the near-duplicate stage keeps one. Tables that a stage
+writes on its way lie under spark.checkpoint.dir: run() drops them when the stage is done, a stage
+that is called by itself leaves its last ones, which its lazy result still reads.
 """
 
 from __future__ import annotations
@@ -12,22 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm import langid, neardup, packing, quality, secrets
-from strandframe.llm.common import collecting, drop_tables, durable, held_out, keep_rows, table
+from strandframe.llm.common import durable, held_out, keep_rows, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-_left: list[str] = []  # intermediate tables of the stage before, whose result has been written
-
-
-def _stage(work):
-    """Drop the intermediate tables of earlier stages, and list those that this one writes."""
-
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _left)
-        with collecting(_left):
-            return work(spark, docs, sf_dir)
-
-    run.__name__, run.__doc__ = work.__name__, work.__doc__
-    return run
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -35,21 +24,18 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return durable(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_sf_row")))
 
 
-@_stage
 def quality_classifier(spark, docs, sf_dir):
     """Keep the documents that the classifier predicts to be of quality 1."""
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id", "text", "quality", ~held_out(F.col("doc_id")))
     return quality.keep(docs.select(*COLUMNS), "text", model)
 
 
-@_stage
 def language_id(spark, docs, sf_dir):
     """Keep the documents whose language is told with enough confidence."""
     model = langid.fit(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", ~held_out(F.col("doc_id")))
     return langid.keep(docs.select(*COLUMNS), "text", model)
 
 
-@_stage
 def near_duplicates(spark, docs, sf_dir):
     """Keep one document of each near-duplicate class: the one with the smallest doc_id."""
     rows = _numbered(docs)
@@ -58,7 +44,6 @@ def near_duplicates(spark, docs, sf_dir):
     return keep_rows(rows, "_sf_row", first).select(*COLUMNS)
 
 
-@_stage
 def secret_scans(spark, docs, sf_dir):
     """Replace every secret in the texts by a mark; n_chars follows the new text."""
     found = secrets.scan(docs, "doc_id", "text", carry=COLUMNS[1:])
@@ -67,7 +52,6 @@ def secret_scans(spark, docs, sf_dir):
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
-@_stage
 def pack(spark, docs, sf_dir):
     """Pieces of fixed-length token sequences."""
     return packing.digest(packing.pack(docs, "doc_id", "text"))
@@ -86,7 +70,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written on its way is dropped once its own result is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = durable(stage(spark, docs, sf_dir), lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
