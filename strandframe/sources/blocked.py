@@ -1,8 +1,7 @@
 """Binary sequence files: block-compressed alignments, and read databases with their overlaps.
 
-Files are read whole by Spark's binary source, one task a file, and decoded a block at a time;
-each must be under 2 GB. Larger alignments go through `split_blocks`: whole blocks of compressed
-data, told apart by their headers, so that a file can be dealt over tasks.
+Alignments and overlaps are read in splits from any store, files of any size by many tasks (see
+`pieces`): the first are cut at the headers of their compressed blocks, the second at zeros.
 """
 
 from __future__ import annotations
@@ -11,15 +10,14 @@ import struct
 import zlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+
+from strandframe.sources.pieces import Format, read_chained, stretches
 
 _BASES = "=acmgrsvtwyhkdbn"
 _OPS = "MIDNSHP=XB"
-_BATCH = 2000
+_LETTERS = np.frombuffer(_BASES.encode(), np.uint8)
 BAM_ROW = "file string, qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>"
 
 
@@ -116,22 +114,8 @@ def bam_records(source):
     for _ in range(s.int()):
         names.append(s.take(s.int())[:-1].decode())
         s.take(4)
-    ref = lambda i: names[i] if i >= 0 else "*"
-    letters = np.frombuffer(_BASES.encode(), np.uint8)
     while (size := s.int()) is not None:
-        raw = s.take(size)
-        rid, pos, lname, mapq, _, ncig, flag, lseq, mrid, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
-        at = 32 + lname
-        cigar = "".join(f"{c >> 4}{_OPS[c & 15]}" for c in struct.unpack_from(f"<{ncig}I", raw, at)) or "*"
-        at += 4 * ncig
-        half = np.frombuffer(raw, np.uint8, (lseq + 1) // 2, at)
-        seq = letters[np.stack([half >> 4, half & 15], 1).reshape(-1)[:lseq]].tobytes().decode()
-        at += (lseq + 1) // 2
-        q = np.frombuffer(raw, np.uint8, lseq, at)
-        qual = "*" if not lseq or q[0] == 255 else (q + 33).astype(np.uint8).tobytes().decode("latin-1")
-        at += lseq
-        name = raw[32 : 32 + lname - 1].decode()
-        yield name, flag, ref(rid), pos + 1, mapq, cigar, "=" if mrid == rid and mrid >= 0 else ref(mrid), mpos + 1, tlen, seq or "*", qual, _tags(raw[at:])
+        yield _bam_row(s.take(size), names)
 
 
 def bam_bytes(header: str, refs: list[tuple[str, int]], rows: list[tuple]) -> bytes:
@@ -170,69 +154,128 @@ def bam_bytes(header: str, refs: list[tuple[str, int]], rows: list[tuple]) -> by
     return compress_blocks(b"".join(out))
 
 
-def _decoded(spark: SparkSession, path, decode, schema: str) -> DataFrame:
-    """Rows of `decode(content)` of each file, with the file first."""
-    struct = StructType.fromDDL(schema)
-    names, arrow = struct.names, [to_arrow_type(f.dataType) for f in struct.fields]
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
-                for r in decode(memoryview(content.as_buffer()).cast("B")):
-                    rows.append((name, *r))
-                    if len(rows) == _BATCH:
-                        yield _batch(rows, names, arrow)
-                        rows = []
-                yield _batch(rows, names, arrow)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.repartition(max(1, files.count())).mapInArrow(run, schema)
-
-
-def _batch(rows: list[tuple], names: list[str], kinds) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+#: The fixed header of a block up to its size field.
+BLOCK_HEAD = b"\x1f\x8b\x08\4\0\0\0\0\0\xff\6\0BC\2\0"
+
+
+def _block_data(part: bytes) -> bytes:
+    """The data of a block from which BLOCK_HEAD was cut."""
+    if not part:
+        return b""
+    size = struct.unpack_from("<H", part)[0] + 1 - len(BLOCK_HEAD)
+    if size != len(part):
+        raise ValueError(f"a block of {len(part) + 16} bytes says that it has {size + 16}")
+    data = zlib.decompress(part[2:-8], -15)
+    if zlib.crc32(data) != struct.unpack_from("<I", part, len(part) - 8)[0]:
+        raise ValueError("a block is damaged")
+    return data
+
+
+def _bam_head(data: bytes) -> tuple[int, list[str]] | None:
+    """Where records begin, and the references' names."""
+    try:
+        if data[:4] != b"BAM\1":
+            if len(data) >= 4:
+                raise ValueError("not an alignment file")
+            return None
+        at = 8 + struct.unpack_from("<i", data, 4)[0]
+        (n,) = struct.unpack_from("<i", data, at)
+        at, names = at + 4, []
+        for _ in range(n):
+            (size,) = struct.unpack_from("<i", data, at)
+            names.append(data[at + 4 : at + 3 + size].decode())
+            at += 8 + size
+        return (at, names) if at <= len(data) else None
+    except struct.error:
+        return None
+
+
+def _bam_follow(data: bytes, at: int, guess: bool, refs: int | None = None) -> int | None:
+    if at + 4 > len(data):
+        return None
+    (size,) = struct.unpack_from("<i", data, at)
+    if guess:
+        if not 32 < size < 1 << 28:
+            return -1
+        if at + 36 > len(data):
+            return None
+        rid, pos, lname, _, _, ncig, _, lseq, mrid, mpos, _ = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
+        if not (-1 <= rid and -1 <= mrid and pos >= -1 and mpos >= -1 and lname and lseq >= 0 and 32 + lname + 4 * ncig + (lseq + 1) // 2 + lseq <= size) or refs is not None and max(rid, mrid) >= refs:
+            return -1
+        name = data[at + 36 : at + 36 + lname]
+        if len(name) == lname and (name[-1] or not all(33 <= c <= 126 for c in name[:-1])):
+            return -1
+    end = at + 4 + size
+    return end if end <= len(data) else None
+
+
+def _bam_row(raw: bytes, names: list[str]) -> tuple:
+    ref = lambda i: names[i] if i >= 0 else "*"
+    rid, pos, lname, mapq, _, ncig, flag, lseq, mrid, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
+    at = 32 + lname
+    cigar = "".join(f"{c >> 4}{_OPS[c & 15]}" for c in struct.unpack_from(f"<{ncig}I", raw, at)) or "*"
+    at += 4 * ncig
+    half = np.frombuffer(raw, np.uint8, (lseq + 1) // 2, at)
+    seq = _LETTERS[np.stack([half >> 4, half & 15], 1).reshape(-1)[:lseq]].tobytes().decode()
+    at += (lseq + 1) // 2
+    q = np.frombuffer(raw, np.uint8, lseq, at)
+    qual = "*" if not lseq or q[0] == 255 else (q + 33).astype(np.uint8).tobytes().decode("latin-1")
+    name = raw[32 : 32 + lname - 1].decode()
+    return name, flag, ref(rid), pos + 1, mapq, cigar, "=" if mrid == rid and mrid >= 0 else ref(mrid), mpos + 1, tlen, seq or "*", qual, _tags(raw[at + lseq :])
+
+
+def bam_references(spark: SparkSession, path: str) -> list[str]:
+    """Names of the references of the (first) file: its first blocks are read, as many as its header takes."""
+    rows, most = stretches(spark, path, BLOCK_HEAD).filter("split = 0").orderBy("file").limit(1).collect(), 8
+    if not rows:
+        return []
+    first = stretches(spark, path, BLOCK_HEAD).filter((F.col("split") == 0) & (F.col("file") == rows[0].file))
+    while True:
+        parts = [bytes(r.value) for r in first.limit(most).collect()]
+        got = _bam_head(b"".join(_block_data(p) for p in parts))
+        if got:
+            return got[1]
+        if len(parts) < most:
+            raise ValueError(f"{path}: the header has no end")
+        most *= 8
 
 
 def read_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The columns of a text alignment table, and file. Identifiers are clean strings."""
-    return _decoded(spark, path, lambda raw: bam_records(blocks(raw)), BAM_ROW)
-
-
-def split_blocks(raw, parts: int) -> list[tuple[int, int]]:
-    """Ranges of compressed bytes that begin at blocks, of nearly equal size."""
-    starts, at = [], 0
-    while at < len(raw):
-        starts.append(at)
-        extra = struct.unpack_from("<H", raw, at + 10)[0]
-        p = at + 12
-        while p < at + 12 + extra and not (raw[p] == 66 and raw[p + 1] == 67):
-            p += 4 + struct.unpack_from("<H", raw, p + 2)[0]
-        at += struct.unpack_from("<H", raw, p + 4)[0] + 1
-    cuts = sorted({min((s for s in starts if s >= len(raw) * k // parts), default=len(raw)) for k in range(parts)} | {len(raw)})
-    return list(zip(cuts, cuts[1:]))
+    """The columns of a text alignment table, and file. Files read together have the same references."""
+    names = bam_references(spark, path)
+    begin = lambda data: got[0] if (got := _bam_head(data)) else None
+    fmt = Format(BLOCK_HEAD, _block_data, begin, lambda d, at, guess: _bam_follow(d, at, guess, len(names)), lambda d, a, b: _bam_row(d[a + 4 : b], names), BAM_ROW.split(", ", 1)[1])
+    return read_chained(spark, path, fmt)
 
 
 # --- overlaps and read databases -----------------------------------------------------------
 
-LAS_ROW = "file string, ord long, a long, b long, reverse boolean, as_ long, ae long, bs long, be long, diffs long, spacing int, trace array<int>"
+LAS_ROW = "file string, a long, b long, reverse boolean, as_ long, ae long, bs long, be long, diffs long, spacing int, trace array<int>"
 _OVERLAP = struct.Struct("<iiiiiiIii")  # tlen diffs abpos bbpos aepos bepos flags aread bread
 SMALL_TRACE = 125  # spacing up to which a trace has a byte a number
 
 
-def las_records(raw):
-    """Overlaps of one file; reads are numbered from 1. Records are 40 bytes and a trace of (differences, advance) pairs."""
-    n, spacing = struct.unpack_from("<qi", raw, 0)
-    at, width = 12, 1 if spacing <= SMALL_TRACE else 2
-    for i in range(n):
-        tlen, diffs, ab, bb, ae, be, flags, a, b = _OVERLAP.unpack_from(raw, at)
-        at += 40
-        trace = np.frombuffer(raw, f"<u{width}", tlen, at).tolist()
-        at += tlen * width
-        if sum(trace[1::2]) != be - bb or not 0 <= ab <= ae:
-            raise ValueError(f"overlap {i} does not add up")
-        yield i, a + 1, b + 1, bool(flags & 1), ab, ae, bb, be, diffs, spacing, trace
+def _las_follow(data: bytes, at: int, guess: bool, width: int) -> int | None:
+    if at + 40 > len(data):
+        return None
+    tlen, diffs, ab, bb, ae, be, flags, a, b = _OVERLAP.unpack_from(data, at)
+    if tlen < 0 or tlen % 2 or not (0 <= ab <= ae and 0 <= bb <= be and a >= 0 and b >= 0 and diffs >= 0 and flags < 64):
+        if guess:
+            return -1
+        raise ValueError(f"an overlap of reads {a + 1} and {b + 1} does not add up")
+    end = at + 40 + tlen * width
+    if guess and end <= len(data) and int(np.frombuffer(data, f"<u{width}", tlen, at + 40)[1::2].sum(dtype=np.int64)) != be - bb:
+        return -1
+    return end if end <= len(data) else None
+
+
+def _las_row(data: bytes, at: int, spacing: int, width: int) -> tuple:
+    """Reads are numbered from 1. Records are 40 bytes and a trace of (differences, advance) pairs."""
+    tlen, diffs, ab, bb, ae, be, flags, a, b = _OVERLAP.unpack_from(data, at)
+    trace = np.frombuffer(data, f"<u{width}", tlen, at + 40).tolist()
+    if sum(trace[1::2]) != be - bb:
+        raise ValueError(f"the trace of an overlap of reads {a + 1} and {b + 1} does not add up")
+    return a + 1, b + 1, bool(flags & 1), ab, ae, bb, be, diffs, spacing, trace
 
 
 def las_bytes(spacing: int, rows: list[tuple]) -> bytes:
@@ -243,8 +286,25 @@ def las_bytes(spacing: int, rows: list[tuple]) -> bytes:
     return b"".join(out)
 
 
+_ZERO = b"\0"  # one byte, so that no split can see a run of them otherwise than the others
+
+
 def read_las(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return _decoded(spark, path, las_records, LAS_ROW)
+    """Overlaps of files of one spacing, which the first file says; a file is cut wherever it has a zero."""
+    head, most = b"", 16
+    while len(head) < 12:
+        rows = stretches(spark, path, _ZERO).filter("split = 0").orderBy("file").limit(most).collect()
+        head = b"".join(bytes(r.value) + _ZERO for r in rows)
+        if len(rows) < most:
+            break
+        most *= 4
+    if len(head) < 12:
+        return spark.createDataFrame([], LAS_ROW)
+    (spacing,) = struct.unpack_from("<i", head, 8)
+    width = 1 if spacing <= SMALL_TRACE else 2
+    follow = lambda d, at, guess: _las_follow(d, at, guess, width)
+    fmt = Format(_ZERO, lambda part: part + _ZERO, lambda d: 12 if len(d) >= 12 else None, follow, lambda d, a, b: _las_row(d, a, spacing, width), LAS_ROW.split(", ", 1)[1], _ZERO)
+    return read_chained(spark, path, fmt)
 
 
 DB_READ = struct.Struct("<iiiiqqii")  # origin, rlen, fpulse, -, boff, coff, flags, -

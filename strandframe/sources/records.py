@@ -50,7 +50,7 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .when(~F.col("p")[3].rlike(r"^[!-~]*$"), "a quality letter is out of range")
     )
     checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(": record "), F.col("record").cast("string"))).cast("string")).otherwise(F.col("p")[0])
-    head = F.substring(checked, 2, 1 << 20)
+    head = F.substring(checked, 2, 1 << 30)
     name, rest = _name_parts(head)
     return got.select("file", "record", name.alias("id"), rest.alias("description"), F.get("p", F.lit(1)).alias("seq"), F.get("p", F.lit(3)).alias("qual"))
 
@@ -74,7 +74,7 @@ def sam_fields(line: Column) -> Column:
     numbers = {"flag": "int", "pos": "long", "mapq": "int", "pnext": "long", "tlen": "long"}
     cols = [p[i].cast(numbers.get(c, "string")).alias(c) for i, c in enumerate(SAM_COLUMNS)]
     rest = F.slice(p, 12, F.greatest(F.size(p) - 11, F.lit(0)))
-    tags = F.map_from_entries(F.transform(rest, lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 4, 1 << 20).alias("v"))))
+    tags = F.map_from_entries(F.transform(rest, lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 4, 1 << 30).alias("v"))))
     return F.struct(*cols, tags.alias("tags"))
 
 
@@ -88,16 +88,18 @@ def sam_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = spark.read.text(path).filter(F.col("value").startswith("@"))
     p = F.split("value", "\t")
     kind = F.substring(p[0], 2, 2)
-    parts = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 4, 1 << 20).alias("v")))
+    parts = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 4, 1 << 30).alias("v")))
     text = F.create_map(F.lit("text"), F.array_join(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), "\t"))
     return rows.select(kind.alias("record"), F.when(kind == "CO", text).otherwise(F.map_from_entries(parts)).alias("fields"))
 
 
-def program_chain(header: DataFrame, last: str, most: int = 64) -> DataFrame:
-    """step, id of the programs from `last` back along PP; a header has few programs."""
+def program_chain(header: DataFrame, last: str) -> DataFrame:
+    """step, id of the programs from `last` back along PP; a chain that comes back to itself is an error. A header has few programs."""
     pg = {r[0]: r[1] for r in header.filter("record = 'PG'").select(F.col("fields")["ID"], F.col("fields")["PP"]).collect()}
     out, at = [], last
-    while at is not None and len(out) < most:
+    while at is not None:
+        if len(out) > len(pg):
+            raise ValueError(f"the programs before {last!r} form a ring")
         out.append((len(out), at))
         at = pg.get(at)
     return header.sparkSession.createDataFrame(out, "step int, id string")
@@ -114,9 +116,9 @@ def sam_line(r: dict[str, Column] | None = None) -> Column:
 def tag(tags: Column, name: str, kind: str = "string") -> Column:
     """A tag's value without its type letter; null where it is absent. Kinds: string, int, float, ints, floats."""
     v = F.try_element_at(tags, F.lit(name))
-    body = F.substring(v, 3, 1 << 20)
+    body = F.substring(v, 3, 1 << 30)
     if kind in ("ints", "floats"):
-        return F.transform(F.slice(F.split(body, ","), 2, 1 << 20), lambda x: x.cast("int" if kind == "ints" else "float"))
+        return F.transform(F.slice(F.split(body, ","), 2, 1 << 30), lambda x: x.cast("int" if kind == "ints" else "float"))
     return body.cast({"int": "int", "float": "float"}.get(kind, kind))
 
 
@@ -245,7 +247,7 @@ def read_bnx(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     rows = numbered(spark, path, {"record": "1", "notes": "#"}).filter(~F.col("value").startswith("#") & (F.col("record") > 0))
     # rows of one map: places by line number, so they meet by (file, record)
-    cells = F.array_sort(F.collect_list(F.struct("line_no", F.slice(F.split("value", "\t"), 2, 1 << 20).alias("v"))))
+    cells = F.array_sort(F.collect_list(F.struct("line_no", F.slice(F.split("value", "\t"), 2, 1 << 30).alias("v"))))
     per = rows.filter(~F.col("value").startswith("0")).groupBy("file", "record").agg(cells.alias("c"))
     numbers = lambda i, t: F.transform(F.get("c", F.lit(i))["v"], lambda x: x.cast(t))
     sites = F.transform(numbers(0, "double"), lambda x: F.floor(x).cast("long"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strandframe.sources import schema as S
 from strandframe.sources.numbered import numbered
 
-HEADER_ROWS = 20_000  # lines within which a header is looked for
+HEADER_ROWS = 20_000  # lines that are read for a header at first; more where they all belong to it
 
 
 # --- fields --------------------------------------------------------------------------------
@@ -67,7 +67,7 @@ def parse(fields: tuple[str, ...], value: Column) -> tuple[list[Column], Column]
     elif kind == "STRING_LIST":
         both = _strings(rest, n)
         got, after = both["out"], both["rest"]
-        short, after = F.lit(False), F.ltrim(after)
+        short, after = F.size(got) < n, F.ltrim(after)
     else:
         items = F.split(rest, " ")
         got = F.when(n > 0, F.slice(items, F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<string>"))
@@ -220,8 +220,13 @@ def parse_header(rows: list[str], types: dict[str, S.FileType] | None = None, ki
 
 def header(spark: SparkSession, path: str, types: dict[str, S.FileType] | None = None, kind: str | None = None) -> Header:
     """The header of the (first) file. Without `types` the file must define its lines."""
-    rows = [r[0] for r in spark.read.text(path).limit(HEADER_ROWS).collect()]
-    return parse_header(rows, types, kind)
+    most = HEADER_ROWS
+    while True:
+        rows = [r[0] for r in spark.read.text(path).limit(most).collect()]
+        # a header ends with the first line of a letter; there is no more to read where the file is shorter
+        if len(rows) < most or rows[-1][:1].isalpha():
+            return parse_header(rows, types, kind)
+        most *= 8
 
 
 # --- tables --------------------------------------------------------------------------------

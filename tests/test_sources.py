@@ -347,8 +347,6 @@ def test_sam_and_bam(spark, tmp_path):
 def test_damaged_blocks():
     raw = bytearray(blocked.compress_blocks(b"x" * 200_000))
     assert b"".join(d for _, d in blocked.blocks(raw)) == b"x" * 200_000
-    cuts = blocked.split_blocks(raw, 3)
-    assert cuts[0][0] == 0 and cuts[-1][1] == len(raw) and b"".join(d for a, b in cuts for _, d in blocked.blocks(raw[a:b])) == b"x" * 200_000
     raw[30] ^= 255
     with pytest.raises(Exception):
         list(blocked.blocks(raw))
@@ -390,13 +388,57 @@ def test_overlaps(spark, tmp_path):
     rows = [(1, 2, False, 0, 250, 5, 260, 12, [3, 100, 4, 100, 5, 55]), (1, 9, True, 50, 100, 0, 50, 0, [0, 50])]
     for spacing in (100, 500):
         (tmp_path / "x.las").write_bytes(blocked.las_bytes(spacing, rows))
-        got = blocked.read_las(spark, f"file://{tmp_path}/x.las").orderBy("ord").collect()
+        got = blocked.read_las(spark, f"file://{tmp_path}/x.las").orderBy("b").collect()
         assert [(r.a, r.b, r.reverse, r.as_, r.ae, r.bs, r.be, r.diffs, r.trace) for r in got] == rows and got[0].spacing == spacing
     (tmp_path / "y.las").write_bytes(blocked.las_bytes(100, [(1, 2, False, 0, 9, 0, 9, 0, [0, 8])]))
     with pytest.raises(Exception, match="add up"):
         blocked.read_las(spark, f"file://{tmp_path}/y.las").collect()
 
 
+@pytest.fixture
+def small_splits(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_alignments_in_splits(spark, tmp_path, small_splits):
+    """One file is read by many tasks; records that cross their borders, and one longer than a split, come out whole."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(4000):
+        n = 60_000 if i == 1500 else rng.randint(0, 90)
+        seq = "".join(rng.choice("acgtn") for _ in range(n)) or "*"
+        rows.append((f"r{i}", rng.choice([0, 4, 16]), rng.choice(["chr1", "chr2", "*"]), rng.randint(0, 10**6), rng.randint(0, 60), f"{n}M" if n else "*", "*", 0, 0, seq, "".join(chr(33 + rng.randrange(40)) for _ in range(n)) if n else "*", [("NM", f"i:{i}")] if i % 3 else []))
+    raw = blocked.bam_bytes("@HD\tVN:1.6\n" * 3000, [("chr1", 10**7), ("chr2", 10**7)], rows)
+    (tmp_path / "x.bam").write_bytes(raw)
+    df = blocked.read_bam(spark, f"file://{tmp_path}/x.bam")
+    assert len(raw) > 100_000 and df.rdd.getNumPartitions() > 4
+    assert sorted((tuple(r)[1:12], sorted(r["tags"].items())) for r in df.collect()) == sorted((r[:11], sorted(r[11])) for r in rows)
+    (tmp_path / "cut.bam").write_bytes(raw[:90_000])
+    with pytest.raises(Exception):
+        blocked.read_bam(spark, f"file://{tmp_path}/cut.bam").collect()
+
+
+def test_overlaps_in_splits(spark, tmp_path, small_splits):
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        steps = [(rng.randrange(30), rng.randint(0, 120)) for _ in range(rng.choice([0, 1, 3, 40]))]
+        a, b = rng.randrange(300), rng.choice([0, 5, 256, 65536])
+        rows.append((rng.choice([1, 2, 257, i + 1]), i + 1, bool(i % 2), a, a + 100 * len(steps), b, b + sum(s[1] for s in steps), sum(s[0] for s in steps), [x for s in steps for x in s]))
+    for spacing in (100, 500):
+        (tmp_path / "x.las").write_bytes(blocked.las_bytes(spacing, rows))
+        df = blocked.read_las(spark, f"file://{tmp_path}/x.las")
+        assert df.rdd.getNumPartitions() > 4
+        assert [(r.a, r.b, r.reverse, r.as_, r.ae, r.bs, r.be, r.diffs, r.trace) for r in df.orderBy("b").collect()] == rows
+    (tmp_path / "none.las").write_bytes(blocked.las_bytes(100, []))
+    assert blocked.read_las(spark, f"file://{tmp_path}/none.las").count() == 0
+
+
 def test_read_database():
     seqs = ["acgtacg", "ttt", "ggggg"]
     bases, index, at = b"", b"\0" * 112, 0
