@@ -39,8 +39,11 @@ def log_normal_parameters(mean: Column, sd: Column) -> tuple[Column, Column]:
     return F.ln(mean) - s2 / 2, F.sqrt(s2)
 
 
-def poisson(u: Column, rate: float, most: int = 1000) -> Column:
-    """The smallest k whose cumulative probability exceeds u."""
+def poisson(u: Column, rate: float) -> Column:
+    """The smallest k whose cumulative probability exceeds u; rates above 700, whose first term leaves the doubles, are an error."""
+    if not 0 <= rate <= 700:
+        raise ValueError(f"a rate of {rate} is not between 0 and 700")
+    most = int(rate + 40 * (rate + 1) ** 0.5 + 40)  # beyond that the terms add nothing to a double
     start = F.struct(F.lit(0).alias("k"), F.exp(F.lit(-rate)).alias("p"), F.exp(F.lit(-rate)).alias("c"))
 
     def step(a, k):

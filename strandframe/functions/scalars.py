@@ -152,7 +152,8 @@ def cigar_ops(cigar: Column) -> Column:
 
 
 def _length(cigar: Column, ops: str) -> Column:
-    return F.aggregate(cigar_ops(cigar), F.lit(0).cast("long"), lambda a, x: a + F.when(F.lit(ops).contains(x["op"]), x["n"]).otherwise(0))
+    """Sum of the numbers before these operations: one expression, one fold."""
+    return F.aggregate(F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{ops}]"), F.lit(1)), F.lit(0).cast("long"), lambda a, n: a + n.cast("long"))
 
 
 def query_length(cigar: Column) -> Column:

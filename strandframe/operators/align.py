@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from strandframe.functions.scalars import cigar_ops
 
 
+PILES = 16
+
+
 def strand_swap(reverse: Column, beg: Column, end: Column) -> tuple[Column, Column]:
     """Begin and end as written: swapped on the reverse strand."""
     return F.when(reverse, end).otherwise(beg), F.when(reverse, beg).otherwise(end)
@@ -40,11 +43,16 @@ def depth(reads: DataFrame, chrom: str = "chrom", cap: int | None = None, order:
     """chrom, ref_pos, depth, n_del, n_skip of each covered position, skips not counted in depth.
 
     Without a cap this is one aggregation, combined before the shuffle. A cap keeps the first reads
-    of each position by `order`; it needs a window by position.
+    of each position by `order`; a first window, over a position's rows as a hash deals them, cuts each of
+    its PILES to the cap, so that no task holds all reads of a deep position.
     """
     at = positions(reads)
     if cap is not None:
-        w = Window.partitionBy(chrom, "ref_pos").orderBy(*(order or ["pos", "cigar"]))
+        by = order or ["pos", "cigar"]
+        pile = F.pmod(F.xxhash64(*by), F.lit(PILES))
+        piles = Window.partitionBy(chrom, "ref_pos", "pile_").orderBy(*by)
+        at = at.withColumn("pile_", pile).withColumn("rn_", F.row_number().over(piles)).filter(F.col("rn_") <= cap)
+        w = Window.partitionBy(chrom, "ref_pos").orderBy(*by)
         at = at.withColumn("rn_", F.row_number().over(w)).filter(F.col("rn_") <= cap)
     return at.groupBy(chrom, "ref_pos").agg(F.count_if(F.col("kind") != "N").alias("depth"), F.count_if(F.col("kind") == "D").alias("n_del"), F.count_if(F.col("kind") == "N").alias("n_skip"))
 

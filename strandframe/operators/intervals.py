@@ -6,32 +6,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_BINS = 16  # bins of its level that an interval may cover
+
+
+def _levels(df: DataFrame, shift: int) -> DataFrame:
+    """`level`: 0, or so many times three bits coarser that an interval covers at most MOST_BINS bins."""
+    level = F.lit(0)
+    for n in range(1, (63 - shift) // 3):
+        s = shift + 3 * (n - 1)
+        level = F.when(F.shiftright("end_", s) - F.shiftright("beg_", s) >= MOST_BINS, n).otherwise(level)
+    return df.withColumn("level_", level)
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on: str, shift: int = 13) -> DataFrame:
     """Pairs of rows of one `on` whose inclusive intervals [beg, end] overlap, as l_* and r_* columns.
 
     Both sides are exploded to the bins of 2^shift that they cover and joined by equality on
-    (on, bin). A pair is kept in the first bin that both cover, so no deduplication is needed. The
-    shift should be near the length of most intervals: rows are multiplied by length / 2^shift.
+    (on, level, bin). An interval that would cover more than MOST_BINS bins goes to a coarser level,
+    of bins eight times as long, and so on: a whole chromosome is a bin or two. Two intervals meet at the coarser of
+    their levels; a side is exploded to coarser levels only as far as the other side has such (a pass
+    over both gives these few numbers). A pair is kept in the first bin that both cover, so no
+    deduplication is needed.
     """
 
-    def binned(df: DataFrame, side: str) -> DataFrame:
+    def leveled(df: DataFrame, side: str) -> DataFrame:
         df = df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
         b, e = F.col(f"{side}_beg"), F.col(f"{side}_end")
-        first = F.shiftright(b.cast("long"), shift)
-        return df.filter(b <= e).withColumn(f"{side}_bin0", first).withColumn("bin", F.explode(F.sequence(first, F.shiftright(e.cast("long"), shift)))).withColumn("on_", F.col(f"{side}_{on}"))
+        return _levels(df.filter(b <= e).withColumns({"beg_": b.cast("long"), "end_": e.cast("long")}), shift)
 
-    both = binned(left, "l").join(binned(right, "r"), ["on_", "bin"])
-    met = (F.col("l_beg") <= F.col("r_end")) & (F.col("r_beg") <= F.col("l_end")) & (F.col("bin") == F.greatest("l_bin0", "r_bin0"))
-    return both.filter(met).drop("bin", "on_", "l_bin0", "r_bin0")
+    def binned(df: DataFrame, side: str, others: list[int]) -> DataFrame:
+        def bins(n: int) -> Column:
+            own = F.transform(F.sequence(F.shiftright("beg_", shift + 3 * n), F.shiftright("end_", shift + 3 * n)), lambda x: F.struct(F.lit(n).alias("level"), x.alias("bin")))
+            meets = F.col("level_") == n if n not in others else F.col("level_") <= n
+            return F.when(meets, own).otherwise(F.array().cast("array<struct<level:int,bin:bigint>>"))
 
+        every = F.explode(F.concat(*[bins(n) for n in sorted({*others, *levels[side]})]))
+        return df.withColumn("bin_", every).select("*", "bin_.*", F.col(f"{side}_{on}").alias("on_")).withColumnsRenamed({"beg_": f"beg_{side}_", "level_": f"level_{side}_"}).drop("end_", "bin_")
 
-def merge(df: DataFrame, on: str, beg: str = "beg", end: str = "end") -> DataFrame:
-    """Unions of overlapping or touching intervals of each `on`: on, beg, end, n."""
-    w = Window.partitionBy(on).orderBy(beg, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = df.withColumn("new_", F.when(before >= F.col(beg), 0).otherwise(1))
-    island = island.withColumn("island_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(on, "island_").agg(F.min(beg).alias("beg"), F.max(end).alias("end"), F.count("*").alias("n")).drop("island_")
+    sides = {"l": leveled(left, "l"), "r": leveled(right, "r")}
+    levels = {k: [r[0] for r in v.select("level_").distinct().collect()] for k, v in sides.items()}
+    both = binned(sides["l"], "l", levels["r"]).join(binned(sides["r"], "r", levels["l"]), ["on_", "level", "bin"])
+    met = (F.col("l_beg") <= F.col("r_end")) & (F.col("r_beg") <= F.col("l_end"))
+    first = (F.col("level") == F.greatest("level_l_", "level_r_")) & (F.col("bin") == F.expr(f"shiftright(greatest(beg_l_, beg_r_), {shift} + 3 * level)"))
+    return both.filter(met & first).drop("bin", "level", "on_", "beg_l_", "beg_r_", "level_l_", "level_r_")
+
+
+def merge(df: DataFrame, on: str, beg: str = "beg", end: str = "end", shift: int = 16) -> DataFrame:
+    """Unions of overlapping or touching intervals of each `on`: on, beg, end, n.
+
+    Windows run within bins of 2^shift begins of one `on`. What goes on over a bin's border - the
+    furthest end so far, the number of unions so far - is a row a bin, joined back.
+    """
+    key = ["on_", "bin_"]
+    rows = df.select(F.struct(F.col(on).alias("on")).alias("on_"), F.coalesce(F.shiftright(F.col(beg).cast("long"), shift), F.lit(-(1 << 62))).alias("bin_"), F.col(beg).alias("beg_"), F.col(end).alias("end_"))
+    w, across = Window.partitionBy(*key).orderBy("beg_", "end_"), Window.partitionBy("on_").orderBy("bin_")
+    sofar = across.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*key).agg(F.max("end_").alias("m_")).select(*key, F.max("m_").over(sofar).alias("carried_"))
+    before = F.greatest(F.max("end_").over(w.rowsBetween(Window.unboundedPreceding, -1)), "carried_")
+    begun = rows.join(ends, key).withColumn("new_", F.when(before >= F.col("beg_"), 0).otherwise(1))
+    counts = begun.groupBy(*key).agg(F.sum("new_").alias("s_")).select(*key, F.coalesce(F.sum("s_").over(sofar), F.lit(0)).alias("base_"))
+    again = Window.partitionBy(*key).orderBy("beg_", "end_", F.desc("new_"))  # of equal intervals the one that begins a union is first
+    island = begun.join(counts, key).withColumn("island_", F.col("base_") + F.sum("new_").over(again.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy("on_", "island_").agg(F.min("beg_").alias("beg"), F.max("end_").alias("end"), F.count("*").alias("n")).select(F.col("on_.on").alias(on), "beg", "end", "n")
 
 
 def _number(text: Column) -> Column:

@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 
 
 SAMPLED = 50  # rows a slice from which borders are chosen; a border may be any tuple, so chance moves no result
+SLICE_ROWS = 1_000_000  # of a slice, in the mean: there are as many slices as that takes, and one a shuffle partition at least
+GRID = 1000  # quantiles of the first pass; more slices than that take another
+
+
+def _below(borders: list[Column], test) -> Column:
+    """How many of the ascending borders are below a value: first by stretches of them, then within one.
+
+    `test` says whether a border is below. Some 2 sqrt(n) comparisons, by arrays that are part of the plan.
+    """
+    step = max(1, round(len(borders) ** 0.5))
+    parts = [borders[i : i + step] for i in range(0, len(borders), step)]
+    if len(parts) < 2:
+        return F.size(F.filter(F.array(*borders), test)) if borders else F.lit(0)
+    whole = F.size(F.filter(F.array(*[p[-1] for p in parts]), test))
+    within = F.coalesce(F.size(F.filter(F.get(F.array(*[F.array(*p) for p in parts]), whole), test)), F.lit(0))
+    return whole * step + F.when(whole < len(parts), within).otherwise(0) - F.when(whole == len(parts), len(parts) * step - len(borders)).otherwise(0)
 
 
 def _between(df: DataFrame, order: list[str], n: int, rows: int) -> Column:
@@ -22,24 +38,28 @@ def _between(df: DataFrame, order: list[str], n: int, rows: int) -> Column:
     some = df.select(*order).sample(min(1.0, 1.2 * SAMPLED * n / max(rows, 1)), 17).select(*map(short, order)).orderBy(*order).limit(2 * SAMPLED * n).collect()
     borders = [some[i * len(some) // n] for i in range(1, n)] if some else []
     tuples = [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, b)]) for b in borders]
-    if not tuples:
-        return F.lit(0)
     own = F.struct(*[F.col(c).alias(c) for c in order])
-    return F.size(F.filter(F.array(*tuples), lambda b: b < own))
+    return _below(tuples, lambda b: b < own)
+
+
+def _quantiles(df: DataFrame, lead: Column, n: int) -> tuple[int, list[float]]:
+    rows, cuts = df.agg(F.count("*"), F.percentile_approx(lead.cast("double"), [i / n for i in range(1, n)] or [0.5], 10 * max(n, 1000))).first()
+    return rows, sorted(float(c) for c in cuts or [])
 
 
 class Ordered:
     """`df` with a slice column; `order` must tell all rows apart, its first key must be `lead`."""
 
     def __init__(self, df: DataFrame, lead: Column, order: list[str], slices: int | None = None):
-        n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        places = [i / n for i in range(1, n)]
-        rows, cuts = df.agg(F.count("*"), F.percentile_approx(lead.cast("double"), places or [0.5], 10_000)).first()
-        at = sorted(float(c) for c in cuts or []) if n > 1 else []
+        rows, grid = _quantiles(df, lead, slices or GRID)
+        n = slices or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLICE_ROWS))
+        if n > GRID:
+            rows, grid = _quantiles(df, lead, n)
+        at = [grid[i * (len(grid) + 1) // n - 1] for i in range(1, n)] if grid and n <= len(grid) + 1 else []
         if len(set(at)) < len(at):
             number = _between(df, order, n, rows)
         else:
-            number = F.size(F.filter(F.array(*[F.lit(c) for c in at]), lambda c: c < lead.cast("double"))) if at else F.lit(0)
+            number = _below([F.lit(c) for c in at], lambda c: c < lead.cast("double"))
         self.df = df.withColumn("_slice", F.coalesce(number, F.lit(-1)))
         self.order = order
         self.window = Window.partitionBy("_slice").orderBy(*order)
@@ -88,3 +108,15 @@ class Ordered:
 
     def result(self) -> DataFrame:
         return self.df.drop("_slice")
+
+
+def in_ranges(rows: DataFrame, ordinal: str, ranges: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Rows with the columns of the range [lo, hi) that holds their ordinal; ranges do not overlap, ordinals are unique.
+
+    A range is a mark in the rows' order, carried forward to the next: no join, whatever the ranges' number and lengths.
+    """
+    marks = ranges.filter(F.col(lo) < F.col(hi)).select(F.col(lo).cast("long").alias("at_"), F.lit(0).alias("kind_"), F.struct(*ranges.columns).alias("range_"))
+    held = rows.select(F.col(ordinal).cast("long").alias("at_"), F.lit(1).alias("kind_"), F.struct(*rows.columns).alias("row_"))
+    both = marks.unionByName(held, allowMissingColumns=True)
+    filled = Ordered(both, F.col("at_"), ["at_", "kind_"]).fill_forward(F.col("range_"), "own_").result()
+    return filled.filter((F.col("kind_") == 1) & (F.col("at_") < F.col(f"own_.{hi}"))).select("row_.*", "own_.*")

@@ -38,7 +38,7 @@ def pulse_cap(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.pulse_cap(widths).alias("capped"), total.alias("numbers"))
 
 
-_Q = "list_transform(embedding[1:8], lambda x: CAST(floor(CAST(x AS DOUBLE) * 100000) AS BIGINT))"
+_Q = "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 100000) AS BIGINT))"
 _WIDTH = "CASE " + " ".join(f"WHEN m < {1 << 8 * n - 1} THEN {n}" for n in range(1, 8)) + " ELSE 8 END"
 
 
@@ -48,7 +48,7 @@ WITH q AS (SELECT vec_id, {_Q} AS q FROM embeddings),
      m AS (SELECT *, list_max(list_transform(d, lambda x: CASE WHEN x >= 0 THEN x ELSE -(x + 1) END)) AS m FROM d)
 SELECT vec_id, array_to_string(d, ',') AS deltas, array_to_string(q, ',') AS decoded, {_WIDTH} AS width FROM m""")
 def intlist_delta(spark, sf_dir):
-    q = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 100000).cast("long"))
+    q = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100000).cast("long"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", X.delta(q).alias("d"))
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
     return rows.select("vec_id", text(F.col("d")).alias("deltas"), text(X.cumulative(F.col("d"))).alias("decoded"), X.byte_width(F.col("d")).alias("width"))

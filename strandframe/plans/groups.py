@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandframe.operators import barcodes, joins, stats
-from strandframe.operators.ordered import Ordered
+from strandframe.operators.ordered import Ordered, in_ranges
 from strandframe.plans.registry import query, table
 from strandframe.plans.selection import LINE, LINE_SQL
 
@@ -88,8 +88,7 @@ def cell_ranges(spark, sf_dir):
     up = F.sum("n").over(Window.orderBy("cell"))  # one row a cell
     bounds = cells.select("cell", (up - F.col("n")).alias("lo"), up.alias("hi"))
     o = Ordered(orders.select("o_orderkey"), F.col("o_orderkey"), ["o_orderkey"]).ordinal("ord").result()
-    joined = o.join(F.broadcast(bounds), (F.col("ord") >= F.col("lo")) & (F.col("ord") < F.col("hi")))
-    return joined.groupBy("cell").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+    return in_ranges(o, "ord", bounds, "lo", "hi").groupBy("cell").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
 @query("""

@@ -14,11 +14,11 @@ _IV = "l_suppkey AS on_, l_orderkey AS beg, l_orderkey + CAST(l_quantity AS BIGI
 @query(f"""
 WITH i AS (SELECT {_IV} FROM lineitem)
 SELECT a.on_ AS l_on, count(*) AS n, CAST(sum(least(a.e, b.e) - greatest(a.beg, b.beg) + 1) AS BIGINT) AS shared
-FROM i a JOIN i b ON a.on_ = b.on_ AND a.ln = 1 AND b.ln = 2 AND a.beg <= b.e AND b.beg <= a.e GROUP BY 1""")
+FROM i a JOIN i b ON a.on_ = b.on_ AND a.ln % 2 = 1 AND b.ln % 2 = 0 AND a.beg <= b.e AND b.beg <= a.e GROUP BY 1""")
 def interval_overlap(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("on"), F.col("l_orderkey").alias("beg"), (F.col("l_orderkey") + F.col("l_quantity").cast("long") * 10).alias("end"), "l_linenumber")
-    side = lambda n: li.filter(F.col("l_linenumber") == n).select("on", "beg", "end")
-    both = intervals.overlap_join(side(1), side(2), "on", shift=9)
+    side = lambda n: li.filter(F.col("l_linenumber") % 2 == n).select("on", "beg", "end")
+    both = intervals.overlap_join(side(1), side(0), "on", shift=9)
     shared = F.least("l_end", "r_end") - F.greatest("l_beg", "r_beg") + 1
     return both.groupBy("l_on").agg(F.count("*").alias("n"), F.sum(shared).alias("shared"))
 
@@ -74,7 +74,7 @@ def cigar_lengths(spark, sf_dir):
 
 
 _PILE = """
-WITH r AS (SELECT l_returnflag AS chrom, l_orderkey % 1000 AS pos, CAST(l_quantity AS BIGINT) AS q, l_suppkey % 3 AS file, l_linenumber AS ln, l_orderkey, l_partkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_linenumber = 1),
+WITH r AS (SELECT l_returnflag AS chrom, l_orderkey % 1000 AS pos, CAST(l_quantity AS BIGINT) AS q, l_suppkey % 3 AS file, l_linenumber AS ln, l_orderkey, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
      p AS (SELECT *, unnest(generate_series(pos, pos + q - 1)) AS ref_pos, 'M' AS kind FROM r UNION ALL
            SELECT *, unnest(generate_series(pos + q, pos + q + 1)), 'D' FROM r UNION ALL
            SELECT *, unnest(generate_series(pos + q + 2, pos + q + 4)), 'M' FROM r)"""
@@ -91,7 +91,7 @@ def pileup_depth(spark, sf_dir):
     return align.depth(_pile(spark, sf_dir))
 
 
-@query(f"""{_PILE}, c AS (SELECT *, row_number() OVER (PARTITION BY chrom, ref_pos ORDER BY pos, l_orderkey, l_partkey, l_suppkey, l_extendedprice, kind) AS rn FROM p)
+@query(f"""{_PILE}, c AS (SELECT *, row_number() OVER (PARTITION BY chrom, ref_pos ORDER BY pos, l_orderkey, ln, l_partkey, l_suppkey, l_extendedprice, kind) AS rn FROM p)
 SELECT chrom, ref_pos, count(*) AS depth, count(*) FILTER (kind = 'D') AS n_del, CAST(0 AS BIGINT) AS n_skip FROM c WHERE rn <= 5 GROUP BY 1, 2""")
 def pileup_capped(spark, sf_dir):
     return align.depth(_pile(spark, sf_dir), cap=5, order=["pos", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "kind"])

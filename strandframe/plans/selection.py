@@ -191,7 +191,8 @@ def db_css(spark, sf_dir):
 
 
 @query("""
-SELECT * FROM (VALUES (0, 'import', '1.0', 'F'), (0, 'import', '1.0', 'O'), (0, 'import', '1.0', 'P'), (1, 'pair', '1.1', 'F'), (1, 'pair', '1.1', 'O')) v(step, program, version, command)""")
+SELECT DISTINCT 0 AS step, 'import' AS program, '1.0' AS version, o_orderstatus AS command FROM orders
+UNION ALL SELECT DISTINCT 1, 'pair', '1.1', l_linestatus FROM lineitem""")
 def provenance_union(spark, sf_dir):
     step = lambda df, c, p, v: df.select(F.lit(p).alias("program"), F.lit(v).alias("version"), F.col(c).alias("command")).distinct()
     from strandframe.operators.variants import union_metadata
@@ -200,11 +201,11 @@ def provenance_union(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT l_shipmode AS file, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
+WITH f AS (SELECT l_returnflag AS file, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
      n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM f)
 SELECT file, max(CASE WHEN rn = 1 THEN CAST(l_orderkey AS VARCHAR) END) AS name, count(*) AS n, row_number() OVER (ORDER BY file) - 1 AS group_ord FROM n GROUP BY file""")
 def file_groups(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_shipmode", "file")
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "file")
     return joins.file_groups(li, "file", F.col("l_orderkey").cast("string"), LINE).select("file", "name", "n", F.col("group_ord").cast("long").alias("group_ord"))
 
 
@@ -221,8 +222,8 @@ def read_totals(spark, sf_dir):
     return stats.totals(table(spark, sf_dir, "documents").select(F.length("text").alias("n")), "n")
 
 
-_AB = "SELECT l_orderkey AS a, CAST(l_quantity AS BIGINT) * 3 AS as_, CAST(l_quantity AS BIGINT) * 3 + 40 AS ae, l_suppkey AS b, l_partkey % 500 AS bs, l_partkey % 500 + 40 AS be FROM lineitem WHERE l_linenumber = 1"
-_BC = "SELECT l_suppkey AS a, l_partkey % 500 AS as_, l_partkey % 500 + 25 AS ae, l_orderkey AS b, l_orderkey % 300 AS bs, l_orderkey % 300 + 25 AS be FROM lineitem WHERE l_linenumber = 2"
+_AB = "SELECT l_orderkey AS a, CAST(l_quantity AS BIGINT) * 3 AS as_, CAST(l_quantity AS BIGINT) * 3 + 40 AS ae, l_suppkey AS b, l_partkey % 500 AS bs, l_partkey % 500 + 40 AS be FROM lineitem WHERE l_linenumber % 2 = 1"
+_BC = "SELECT l_suppkey AS a, l_partkey % 500 AS as_, l_partkey % 500 + 25 AS ae, l_orderkey AS b, l_orderkey % 300 AS bs, l_orderkey % 300 + 25 AS be FROM lineitem WHERE l_linenumber % 2 = 0"
 
 
 @query(f"""
@@ -232,8 +233,8 @@ SELECT a, s + dx AS as_, e + dx AS ae, b, s + dy AS bs, e + dy AS be FROM o""")
 def map_composition(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     q, p, k = F.col("l_quantity").cast("long") * 3, F.col("l_partkey") % 500, F.col("l_orderkey") % 300
-    ab = li.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("a"), q.alias("as_"), (q + 40).alias("ae"), F.col("l_suppkey").alias("b"), p.alias("bs"), (p + 40).alias("be"))
-    bc = li.filter("l_linenumber = 2").select(F.col("l_suppkey").alias("a"), p.alias("as_"), (p + 25).alias("ae"), F.col("l_orderkey").alias("b"), k.alias("bs"), (k + 25).alias("be"))
+    ab = li.filter("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("a"), q.alias("as_"), (q + 40).alias("ae"), F.col("l_suppkey").alias("b"), p.alias("bs"), (p + 40).alias("be"))
+    bc = li.filter("l_linenumber % 2 = 0").select(F.col("l_suppkey").alias("a"), p.alias("as_"), (p + 25).alias("ae"), F.col("l_orderkey").alias("b"), k.alias("bs"), (k + 25).alias("be"))
     return joins.compose_maps(ab, bc, shift=6)
 
 
@@ -248,11 +249,13 @@ def sequence_faults(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, length(text) AS n_before, length(text) AS n_after FROM documents WHERE length(text) BETWEEN 1 AND 3000""")
+SELECT doc_id, length(text) AS n, length(text) AS n_replaced, 2 * length(text) AS n_inserted, CAST(0 AS BIGINT) AS n_deleted FROM documents WHERE length(text) > 0""")
 def mutated_letters(spark, sf_dir):
+    """At rate 1 each kind of change meets every letter; rates between are tested against the same chances in Python."""
     from strandframe.functions import samplers
 
     docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", X.dna(F.col("text")).alias("s"))
-    # substitutions alone keep the length
-    m = docs.withColumn("m", samplers.mutate(F.col("s"), F.col("doc_id"), 0.0, 0.0, 0.1))
-    return m.select("doc_id", F.length("s").cast("long").alias("n_before"), F.length("m").cast("long").alias("n_after"))
+    at = lambda *rates: samplers.mutate(F.col("s"), F.col("doc_id"), *rates)
+    m = docs.withColumn("replaced", at(0.0, 0.0, 1.0)).withColumn("inserted", at(1.0, 0.0, 0.0)).withColumn("deleted", at(0.0, 1.0, 0.0))
+    differ = F.filter(F.arrays_zip(F.split("s", "").alias("x"), F.split("replaced", "").alias("y")), lambda p: (p["x"] != p["y"]) & p["y"].isin(*"acgt"))
+    return m.select("doc_id", F.length("s").cast("long").alias("n"), F.size(differ).cast("long").alias("n_replaced"), F.length("inserted").cast("long").alias("n_inserted"), F.length("deleted").cast("long").alias("n_deleted"))

@@ -26,8 +26,8 @@ def test_fastq_scan_takes_whole_texts(spark, texts):
 
 
 def test_mutated_letters_takes_long_texts(spark, texts):
-    got = {r.doc_id: (r.n_before, r.n_after) for r in QUERIES["mutated_letters"](spark, texts).collect()}
-    assert got == {i: (len(t), len(t)) for i, t in enumerate(LONG) if t}
+    got = {r.doc_id: (r.n, r.n_replaced, r.n_inserted, r.n_deleted) for r in QUERIES["mutated_letters"](spark, texts).collect()}
+    assert got == {i: (len(t), len(t), 2 * len(t), 0) for i, t in enumerate(LONG) if t}
 
 
 def test_pileups_take_every_line(spark, tmp_path):
