@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.ordered import Ordered
 from strandframe.plans.registry import query, table
-from strandframe.sources import records, tagged
+from strandframe.functions import scalars as X
+from strandframe.sources import binary, records, tagged
 from strandframe.sources import schema as S
 
 
@@ -50,6 +51,34 @@ def one_roundtrip(spark, sf_dir):
     return back.select(F.col("N.N0").alias("n_nationkey"), F.col("N.N1").alias("n_name"), F.col("g1").alias("r_name"), F.get("K", F.lit(0)).alias("k1"), F.get("K", F.lit(1)).alias("k2"))
 
 
+_BINARY = """\
+P 3 cus
+G g 2 3 INT 6 STRING
+O C 3 3 INT 6 STRING 4 REAL
+D K 1 8 INT_LIST
+D D 1 3 DNA
+"""
+
+
+@query("""
+WITH c AS (SELECT *, dense_rank() OVER (ORDER BY c_nationkey) - 1 AS g FROM customer)
+SELECT c_custkey, c_name, c_acctbal, g AS group_ord, 'n' || c_nationkey AS g1, c_custkey * 7 - 3 AS k1, -c_custkey AS k2,
+       regexp_replace(lower(c_name), '[^acgt]', 'a', 'g') AS d FROM c""")
+def one_binary_roundtrip(spark, sf_dir):
+    """Objects in groups, written in binary form as parts of one file with packed letters, and read back."""
+    kind = S.parse_schema(_BINARY)["cus"]
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    order = ["c_nationkey", "c_custkey"]
+    rows = Ordered(c, F.col("c_nationkey"), order).ordinal().result()
+    groups = rows.groupBy(F.concat(F.lit("n"), "c_nationkey").alias("g1")).agg(F.min("obj_ord").alias("first_obj"), F.count("*").alias("n_obj")).withColumn("group_ord", F.lit(0)).withColumn("g0", F.col("n_obj"))
+    objects = rows.select("obj_ord", F.struct(F.col("c_custkey").alias("C0"), F.col("c_name").alias("C1"), F.col("c_acctbal").cast("double").alias("C2")).alias("C"), F.array(F.col("c_custkey") * 7 - 3, -F.col("c_custkey")).alias("K"), X.dna(F.col("c_name")).alias("D"))
+    at = folder(spark)
+    binary.write_binary(tagged.object_lines(objects, kind, groups), tagged.Header(kind), at, objects=5000)
+    lines = binary.scan_any(spark, at, whole=True)
+    back = tagged.objects(lines, kind).join(tagged.groups(lines, kind).select("group_ord", "g1"), "group_ord")
+    return back.select(F.col("C.C0").alias("c_custkey"), F.col("C.C1").alias("c_name"), F.col("C.C2").alias("c_acctbal"), "group_ord", "g1", F.get("K", F.lit(0)).alias("k1"), F.get("K", F.lit(1)).alias("k2"), F.col("D").alias("d"))
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^acgt]', 'a', 'g') AS seq FROM documents WHERE length(text) > 0)
 SELECT doc_id, 'r' || doc_id AS id, length(seq) AS n, md5(seq) AS seq_md5, length(seq) AS n_qual FROM d""")

@@ -5,17 +5,19 @@ of list bytes, and the places of objects and groups. `scan` reads a range of obj
 through a Python data source, so one file is read by many tasks; its paths must be readable by the
 executors as files (a shared mount). `scan_any` reads through Spark's own binary source from any
 store, one task a file, for files under 2 GB. Both give lines in the text form of `tagged`, so all its
-tables work on them.
+tables work on them. `write_binary` writes lines from any table as the parts of one file, each whole in itself, to any
+store; `scan_any(whole=True)` reads such parts as one file.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import struct
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -268,8 +270,11 @@ def scan(spark: SparkSession, path: str, first: int | None = None, last: int | N
     return reader.load(path)
 
 
-def scan_any(spark: SparkSession, path: str) -> DataFrame:
-    """The line table of binary files under 2 GB in any store."""
+def scan_any(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """The line table of binary files under 2 GB in any store; with `whole` they are the parts, by name, of one.
+
+    Parts' ordinals go on where the part before ended, by a table of one row a part.
+    """
 
     def run(batches):
         for batch in batches:
@@ -277,8 +282,8 @@ def scan_any(spark: SparkSession, path: str) -> DataFrame:
                 raw = memoryview(content.as_buffer()).cast("B")
                 lay = layout(io.BytesIO(raw))
                 rows, size = [], 0
-                for r in decode_lines(bytes(raw[lay.start : lay.end]), lay):
-                    rows.append((name, *r))
+                for n, r in enumerate(decode_lines(bytes(raw[lay.start : lay.end]), lay)):
+                    rows.append((name, *r, n))
                     size += len(r[3])
                     if size > 4 << 20:
                         yield _rows(rows)
@@ -286,13 +291,23 @@ def scan_any(spark: SparkSession, path: str) -> DataFrame:
                 yield _rows(rows)
 
     # a batch of one file: contents are large
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.repartition(max(1, files.count())).mapInArrow(run, _LINES)
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
+    out = files.repartition(max(1, files.select("path").count())).mapInArrow(run, _LINES + ", line_no long")
+    if not whole:
+        return out
+    last = lambda c: F.coalesce(F.max(c), F.lit(-1)) + 1
+    before = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the first object of a part goes on with the group of the part before
+    base = out.groupBy("file").agg(last("obj_ord").alias("o"), last("group_ord").alias("g"), F.count("*").alias("n")).select("file", before("o").alias("o"), before("g").alias("g"), before("n").alias("n"))
+    joined = out.join(base, "file")
+    group = F.coalesce(F.col("group_ord") + F.col("g"), F.when(F.col("g") > 0, F.col("g") - 1))
+    return joined.select(F.lit(path).alias("file"), "line_type", (F.col("obj_ord") + F.col("o")).alias("obj_ord"), group.alias("group_ord"), "value", (F.col("line_no") + F.col("n")).alias("line_no"))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string())], ["file", "line_type", "obj_ord", "group_ord", "value"])
+    cols = list(zip(*rows)) if rows else [()] * 6
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file", "line_type", "obj_ord", "group_ord", "value", "line_no"])
 
 
 # --- write ---------------------------------------------------------------------------------
@@ -381,3 +396,91 @@ def stitched(head: Header, found: list, parts: list[tuple[bytes, list[int], list
         tail += bytes([type_byte(";")]) + code.encode() + codec.put_int(len(raw)) + raw
     tail += _index("&", places) + (_index("*", [*groups, n]) if groups else b"")
     return top + b"".join(bodies) + b"\n" + tail + b"^\n" + struct.pack("<q", at + 1)
+
+
+def text_values(fields: tuple[str, ...], raw: bytes) -> list:
+    """The fields of a line in text form, from what follows its letter and a space."""
+    out, at = [], 0
+
+    def word() -> bytes:
+        nonlocal at
+        end = raw.find(b" ", at)
+        end = len(raw) if end < 0 else end
+        got, at = raw[at:end], end + 1
+        return got
+
+    def letters(n: int) -> str:
+        nonlocal at
+        got, at = raw[at : at + n].decode("utf-8", "surrogateescape"), at + n + 1
+        return got
+
+    for f in fields:
+        if f in ("STRING", "DNA"):
+            out.append(letters(int(word())))
+        elif f == "STRING_LIST":
+            out.append([letters(int(word())) for _ in range(int(word()))])
+        elif f in S.LISTS:
+            one = int if f == "INT_LIST" else float
+            out.append([one(word()) for _ in range(int(word()))])
+        else:
+            out.append({"INT": int, "REAL": float}.get(f, bytes.decode)(word()))
+    return out
+
+
+def encoded(head: Header, lines, codes: dict[str, codec.Huffman] | None = None) -> bytes:
+    """A binary file of lines in text form, with its counts and index."""
+    kind = head.type
+    e, per, most, own = Encoder(kind, codes), {}, {}, {}
+
+    def close():
+        for c, (n, total) in own.items():
+            a = most.setdefault(c, [0, 0])
+            most[c] = [max(a[0], n), max(a[1], total)]
+        own.clear()
+
+    grouped = False
+    for line in lines:
+        code = line[:1].decode()
+        values = text_values(kind.lines[code].fields, line[2:])
+        e.line(code, values)
+        place = kind.lines[code].list_at
+        v = None if place is None else values[place]
+        size = 0 if v is None else sum(len(s.encode()) for s in v) if kind.lines[code].fields[place] == "STRING_LIST" else len(v.encode()) if isinstance(v, str) else len(v)
+        n = per.setdefault(code, [0, 0, 0])
+        per[code] = [n[0] + 1, max(n[1], size), n[2] + size]
+        if code == kind.group:
+            close()
+            grouped = True
+        elif grouped:
+            n = own.setdefault(code, [0, 0])
+            own[code] = [n[0] + 1, n[1] + size]
+    close()
+    found = [{"line_type": c, "n": n, "max_len": longest, "total_len": total, "group_max_n": most.get(c, [0])[0], "group_max_len": most.get(c, [0, 0])[1]} for c, (n, longest, total) in per.items()]
+    return stitched(head, found, [(e.data(), e.places, e.group_at)], codes)
+
+
+def line_rows(table: DataFrame, kind: S.FileType) -> DataFrame:
+    """obj_ord, k, value of a line table: what write_binary() and tagged.write_text() take, so that either form is turned into the other."""
+    place = F.when(F.col("line_type") == F.lit(kind.group or ""), F.col("obj_ord") + 1).otherwise(F.col("obj_ord"))
+    return table.select(place.alias("obj_ord"), F.pmod(F.col("line_no"), F.lit(1 << 31)).cast("int").alias("k"), "value")
+
+
+def write_binary(rows: DataFrame, head: Header, path: str, codes: dict[str, codec.Huffman] | None = None, mode: str = "error", objects: int = OBJECTS_A_TASK) -> None:
+    """Write obj_ord, k, value (lines in text form, as of tagged.object_lines()) as the parts of one binary file.
+
+    A part has some `objects` objects, all lines of each, and is a binary file in itself, made by one task
+    as one value. Spark's text sink writes it to any store: its last byte, which is a zero as an index
+    lies below 2^56, is the sink's line separator.
+    """
+    n = rows.agg(F.max("obj_ord")).first()[0]
+    parts = 1 if n is None else max(1, -(-(n + 1) // objects))
+    ordered = rows.repartitionByRange(parts, "obj_ord").sortWithinPartitions("obj_ord", "k").select(F.col("value").cast("binary").alias("value"))
+
+    def run(batches):
+        lines = (v for batch in batches for v in batch.column(0).to_pylist())
+        first = next(lines, None)
+        if first is not None:
+            raw = encoded(head, itertools.chain([first], lines), codes)
+            yield pa.RecordBatch.from_arrays([pa.array([raw[:-1]], pa.binary())], ["value"])
+
+    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.mode(mode).option("lineSep", "\0").text(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,6 +281,31 @@ def test_binary_round_trip(spark, tmp_path, compressed):
     assert sorted(r.obj_ord for r in some.filter("line_type = 'S'").collect()) == [12, 13, 14]
 
 
+@pytest.mark.parametrize("compressed", [False, True])
+def test_text_to_binary_and_back(spark, tmp_path, compressed):
+    """Written as several parts, in the middle of groups, read as one file, and turned back into the same text."""
+    kind = TYPES["seq"]
+    rng = random.Random(8)
+    head = tagged.Header(kind, "irp", [("made", "1.0", "now", "2020-01-01_00:00:00")])
+    body = []
+    for i in range(120):
+        body += [f"g {min(35, 120 - i)} {len(f'lane é{i}'.encode())} lane é{i}"] if i % 35 == 0 else []
+        seq, qual = "".join(rng.choice("acgt") for _ in range(i % 40)), "".join(rng.choice("!I~ ") for _ in range(i % 40))
+        body += (["P"] if i % 2 == 0 else []) + [f"S {len(seq)} {seq}" if seq else "S 0", f"Q {len(qual)} {qual}" if qual else "Q 0", f"W {i} {-i} {i * 1000} 0.25"]
+    at = put(tmp_path / "x.irp", "\n".join([*tagged.header_lines(head), *body]) + "\n")
+    lines = tagged.lines(spark, at, tagged.header(spark, at).type)
+    codes = {"Q": codec.Huffman.trained({ord(c): n for c, n in zip("!I~ ", (50, 40, 10, 9))})} if compressed else None
+    binary.write_binary(binary.line_rows(lines, kind), head, f"file://{tmp_path}/bin", codes, objects=30)
+    assert len([p for p in (tmp_path / "bin").glob("part-*") if p.stat().st_size]) > 2
+    back = binary.scan_any(spark, f"file://{tmp_path}/bin", whole=True)
+    tagged.write_text(binary.line_rows(back, kind), tagged.header_lines(head), f"file://{tmp_path}/text")
+    again = [r.value for p in sorted((tmp_path / "text").glob("part-*.txt")) for r in spark.read.text(f"file://{p}").collect()]
+    plain = lambda rows: [re.sub("^g [0-9]+ ", "g ", v) for v in rows if v[:1].isalpha()]
+    assert plain(again) == plain(body)
+    got = tagged.objects(back, kind).orderBy("obj_ord").select("obj_ord", "group_ord", F.length("S").alias("n")).collect()
+    assert [tuple(r) for r in got] == [(i, i // 35, i % 40) for i in range(120)]
+
+
 def test_binary_lists(spark, tmp_path):
     kind = S.parse_schema("P 3 all\nO O 2 3 INT 11 STRING_LIST\nD L 1 9 REAL_LIST\nD I 1 8 INT_LIST\nD C 1 4 CHAR\n")["all"]
     rows = [("O", [3, ["a b", "", "c"]]), ("L", [[1.5, -2.25]]), ("I", [[5, -7, 1 << 40]]), ("I", [[9]]), ("I", [[]]), ("C", ["z"])]
