@@ -16,13 +16,13 @@ unfilled register is drawn again to twice the time.
 
 Candidates. 16 bands of 4 registers. Rows of (band, signature) are sorted across the cluster by
 band value, then signature, so that a bucket of any size lies in runs, spread over tasks, with like
-texts side by side. A task walks its run in windows and proposes, for each text, its most similar
-earlier texts by signature; buckets of which it has not proposed all likely pairs it reports as
+texts side by side. A task walks its run in windows and proposes, for each text, the first and the most similar of the
+earlier texts that are likely by signature; buckets of which it has not proposed all likely pairs it reports as
 open. Once the proposed pairs are verified and classes formed, an open bucket that lies in one
 class has nothing left to find. In the others the texts outside the largest class meet all of the
-bucket by their signatures alone, in blocks, and each block proposes the likeliest pair of each
-two classes. What is verified joins classes; for those that are still apart, the next round
-proposes STEPS more, and the last one all. So a bucket of n copies costs some n pairs, and yet no
+bucket by their signatures alone, in blocks, and each block proposes to each of them its likeliest
+partner in another class. What is verified joins classes; to texts that are still apart, the next
+rounds propose more partners (STEPS), and the last one all. So a bucket of n copies costs some n pairs, and yet no
 likely pair between different classes stays unverified, whatever a bucket's size.
 
 Likely are pairs of which LIKELY of the registers agree in half a byte and whose sizes allow a
@@ -53,9 +53,8 @@ WORDS, ENOUGH = 5, 0.8
 BANDS, DEPTH = 16, 4
 REGISTERS = BANDS * DEPTH
 WINDOW = 512  # texts of a bucket that are held side by side in the first pass
-PROPOSALS = 2  # most similar texts of a window that a text is paired with in the first pass
 BLOCK = 512  # texts of an open bucket, on either side, whose signatures are held at once
-STEPS = (1, 16, 4096, None)  # pairs that a block proposes of two classes, by round
+STEPS = (1, 4, 64, None)  # partners in other classes that a block proposes to a text, by round
 FILTERED = 1 << 24  # texts in pairs up to which their Bloom filter, of 64 MB at most, is broadcast
 LIKELY = 0.56  # share of registers with equal half bytes from which a pair is proposed: 5 standard deviations below 0.8
 
@@ -243,8 +242,9 @@ def proposals(texts: DataFrame) -> DataFrame:
                     ids, regs, sizes = np.r_[ids, tids[at:stop]], np.concatenate([regs, more]), np.r_[sizes, own]
                     for i in range(max(1, old), len(ids)):
                         likely, equal = _likely(regs[:i], sizes[:i], regs[i], sizes[i])
-                        if len(likely) > PROPOSALS:
-                            likely = likely[np.argsort(-equal[likely], kind="stable")[:PROPOSALS]]
+                        if len(likely) > 2:
+                            # the earliest one connects what is alike at large, the likeliest one what is nearest
+                            likely = {likely[0], likely[equal[likely].argmax()]}
                             opened.append(int(band))
                         found += [(int(ids[j]), int(ids[i])) for j in likely]
             if len(found) > 10_000:
@@ -343,7 +343,7 @@ def verified(pairs: DataFrame, known: DataFrame, enough: float = ENOUGH) -> Data
 
 
 def likeliest(rows: DataFrame, classed: DataFrame, most: int | None) -> DataFrame:
-    """a, b: the `most` likeliest pairs of each two classes in a block of an open band; more: whether a block had others.
+    """a, b: texts outside an open band's largest class with their `most` likeliest partners of other classes in each block; more: whether there were others.
 
     `rows` are (band, tid, brief, bands), `classed` has tid and root of the texts in classes so far. A
     pair is looked at in the first band that both share, so that none is proposed twice.
@@ -363,22 +363,18 @@ def likeliest(rows: DataFrame, classed: DataFrame, most: int | None) -> DataFram
         asks, tid, root = table["asks"].to_numpy(), table["tid"].to_numpy(), table["root"].to_numpy()
         regs, sizes = _signs(table["brief"])
         bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        here, them, found = table["band"][0].as_py(), np.flatnonzero(~asks), [np.zeros((3, 0), np.int64)]
+        here, them, found, more = table["band"][0].as_py(), np.flatnonzero(~asks), [np.zeros((2, 0), np.int64)], False
         for i in np.flatnonzero(asks):
             likely, equal = _likely(regs[them], sizes[them], regs[i], sizes[i])
             likely = likely[root[them[likely]] != root[i]]
             shared = bands[them[likely]] == bands[i]
             likely = likely[bands[i][shared.argmax(1)] == here]
-            found.append(np.stack([np.full(len(likely), i), them[likely], equal[likely]]))
-        i, j, equal = np.concatenate(found, 1)
-        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-        order = np.lexsort((-equal, high, low))
-        i, j, low, high = i[order], j[order], low[order], high[order]
-        first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(i) else np.zeros(0, np.int64)
-        turn = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-        keep = np.ones(len(i), bool) if most is None else turn < most
-        a, b = tid[i[keep]], tid[j[keep]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": np.full(len(a), not keep.all())})
+            if most is not None and len(likely) > most:
+                likely, more = likely[np.argsort(-equal[likely], kind="stable")[:most]], True
+            found.append(np.stack([np.full(len(likely), i), them[likely]]))
+        i, j = np.concatenate(found, 1)
+        a, b = tid[i], tid[j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": np.full(len(a), more)})
 
     return members.unionByName(askers).groupBy("band", "block", "turn").applyInArrow(compare, "a long, b long, more boolean")
 
