@@ -59,6 +59,15 @@ def symbols(df: DataFrame, text: str) -> DataFrame:
     return coded.select("symbol", "n", "code", bits.alias("bits"))
 
 
+def nearest_codes(found: DataFrame) -> DataFrame:
+    """byte, code of all 256 bytes from a symbols() table of one-byte symbols: an unseen one has the code of the nearest seen, the lower of two."""
+    seen = found.filter(F.octet_length("symbol") == 1).select(F.struct(F.ascii("symbol").alias("at"), "code").alias("s"))
+    whole = seen.agg(F.array_sort(F.collect_list("s")).alias("all"))  # the alphabet, 256 at most
+    byte = F.explode(F.sequence(F.lit(0), F.lit(255))).alias("byte")
+    near = F.array_min(F.transform("all", lambda s: F.struct(F.abs(s["at"] - F.col("byte")).alias("d"), s["at"].alias("at"), s["code"].alias("code"))))
+    return whole.select("all", byte).select("byte", near["code"].alias("code"))
+
+
 def totals(reads: DataFrame, length: str) -> DataFrame:
     """n_reads, total and longest of a set of reads."""
     return reads.agg(F.count("*").alias("n_reads"), F.coalesce(F.sum(length), F.lit(0)).cast("long").alias("total"), F.coalesce(F.max(length), F.lit(0)).cast("long").alias("longest"))

@@ -128,6 +128,28 @@ def update_info(info: Column, key: str, value: Column | None) -> Column:
     return kept if value is None else F.map_concat(kept, F.create_map(F.lit(key), value))
 
 
+def add_id(ids: Column, value: str | Column) -> Column:
+    """A record's names, joined by ';', with one more unless it is there."""
+    value = F.lit(value) if isinstance(value, str) else value
+    return F.when(ids.isNull(), value).when(F.array_contains(F.split(ids, ";"), value), ids).otherwise(F.concat_ws(";", ids, value))
+
+
+def update_format(formats: Column, samples: Column, key: str, values: Column | None) -> Column:
+    """struct<format, samples> with one field of all samples set, added at the end where it is new, or taken out (no values).
+
+    A sample may state fewer fields than the format has; what it lacks is missing.
+    """
+    at = F.array_position(formats, key)
+    n = F.size(formats)
+    cells = lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(F.split(s, ":"), i), F.lit(".")))
+    if values is None:
+        out = F.when(at == 0, samples).otherwise(F.transform(samples, lambda s: F.array_join(F.filter(cells(s), lambda _, i: i != at - 1), ":")))
+        return F.struct(F.array_remove(formats, key).alias("format"), out.alias("samples"))
+    put = lambda s, k: F.when(at == 0, F.array_append(cells(s), F.get(values, k))).otherwise(F.transform(cells(s), lambda x, i: F.when(i == at - 1, F.get(values, k)).otherwise(x)))
+    named = F.when(at == 0, F.array_append(formats, F.lit(key))).otherwise(formats)
+    return F.struct(named.alias("format"), F.transform(samples, lambda s, k: F.array_join(put(s, k), ":")).alias("samples"))
+
+
 def used_alleles(alts: Column, genotypes: Column) -> Column:
     """Numbers, from 0, of the alleles in use, the reference always."""
     seen = F.filter(F.flatten(F.transform(genotypes, alleles)), lambda x: x.isNotNull() & (x > 0) & (x <= F.size(alts)))

@@ -369,3 +369,49 @@ def test_order_in_many_slices(spark):
     cells = spark.createDataFrame([("a", 0, 3), ("b", 3, 3), ("c", 3, 4000), ("d", 4500, 9000)], "cell string, lo long, hi long")
     found = in_ranges(spark.range(5000).withColumnRenamed("id", "ord"), "ord", cells, "lo", "hi").groupBy("cell").count().collect()
     assert {r["cell"]: r["count"] for r in found} == {"a": 3, "c": 3997, "d": 500}
+
+
+def test_mutation_follows_its_chances(spark):
+    """Letter by letter against the same hashes in Python, at rates between 0 and 1."""
+    import xxhash
+
+    def hashed(seed: int, i: int, k: int) -> int:
+        h = 42
+        for v, n in ((seed, 8), (i, 4), (k, 4)):
+            h = xxhash.xxh64_intdigest(v.to_bytes(n, "little", signed=True), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    def chance(seed, i, k):
+        return hashed(seed, i, k) % (1 << 30) / float(1 << 30)
+
+    text, insert, delete, swap = "acgtacgttgca" * 20, 0.1, 0.2, 0.3
+    for seed in (1, 77):
+        want = []
+        for i, c in enumerate(text):
+            u = chance(seed, i, 0)
+            if u < delete:
+                continue
+            if u < delete + swap:
+                want.append([x for x in "acgt" if x != c][int(chance(seed, i, 1) * 3)])
+            elif u < delete + swap + insert:
+                want.append("acgt"[int(chance(seed, i, 2) * 4)] + c)
+            else:
+                want.append(c)
+        got = spark.range(1).select(samplers.mutate(F.lit(text), F.lit(seed).cast("long"), insert, delete, swap).alias("v")).first().v
+        assert got == "".join(want) and len(got) != len(text)
+
+
+def test_poisson_range(spark):
+    assert 640 < one(spark, samplers.poisson(F.lit(0.5), 700.0)) < 760 and one(spark, samplers.poisson(F.lit(0.5), 0.0)) == 0
+    with pytest.raises(ValueError):
+        samplers.poisson(F.lit(0.5), 800.0)
+
+
+def test_program_chain_and_cells(spark):
+    from strandframe.sources import records
+
+    pg = [("PG", {"ID": f"p{i}", "PP": f"p{i + 1}"} if i < 99 else {"ID": "p99"}) for i in range(100)]
+    head = spark.createDataFrame(pg, "record string, fields map<string,string>")
+    assert records.program_chain(head, "p0").count() == 100
+    with pytest.raises(ValueError, match="ring"):
+        records.program_chain(spark.createDataFrame([("PG", {"ID": "a", "PP": "b"}), ("PG", {"ID": "b", "PP": "a"})], "record string, fields map<string,string>"), "a")
