@@ -84,6 +84,47 @@ def test_nearest_edges(spark):
     assert [r.vec_id for r in near] == [0, 1, 2, 3, 4]
 
 
+def test_recall_beyond_the_sample(spark, monkeypatch):
+    """Most rows lie outside the sample: recall holds for all queries, and clustered vectors are found in few parts."""
+    monkeypatch.setattr(ann, "SAMPLE", 2048)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(150, 24))
+    shapes = {"random": (rng.normal(size=(12_000, 24)), 1.0), "clustered": (centres[rng.integers(0, 150, 12_000)] + 0.4 * rng.normal(size=(12_000, 24)), 0.25)}
+    for name, (x, most) in shapes.items():
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(6)
+        scored = []
+        routes = ann.Router.routes
+
+        def seen(self, q, held, enough):
+            out = routes(self, q, held, enough)
+            scored.append((out @ held).mean() / held.sum())
+            return out
+
+        monkeypatch.setattr(ann.Router, "routes", seen)
+        got: dict[int, set] = {}
+        for r in ann.nearest(df, "vec_id", "embedding", F.col("id") % 50 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        monkeypatch.setattr(ann.Router, "routes", routes)
+        want = brute(np.arange(12_000), x, np.arange(0, 12_000, 50), 5)
+        assert all(len(v) == 5 for v in got.values()) and set(got) == set(want)
+        assert np.mean([len(got[q] & want[q]) / 5 for q in want]) >= 0.9, name
+        assert np.mean(scored) <= most, (name, scored)
+
+
+def test_queries_go_on_to_further_parts(spark):
+    """A part of few rows next to one of many: every query gets as many as there are."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.01, (300, 4)) + [1, 0, 0, 0], rng.normal(0, 0.01, (2, 4)) + [0, 0, 0, -1]])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, "vec_id", "embedding", F.col("id") == 301, parts=8).orderBy("rank").collect()
+    assert [r.rank for r in got] == [1, 2, 3, 4, 5] and got[0].vec_id == 300
+    assert len(ann.nearest(df.limit(4), "vec_id", "embedding", F.col("id") == 1).collect()) == 3
+
+
+def test_blocks_of_neighbouring_parts():
+    assert ann.part_blocks({0: 5, 1: 4, 3: 9, 7: 25, 8: 1}, 10) == [([0, 1], 1), ([3], 1), ([7], 3), ([8], 1)] and ann.part_blocks({}) == []
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(2)
     x = ann.unit(np.concatenate([rng.normal(c, 0.3, (400, 8)) for c in rng.normal(0, 1, (5, 8))]))
