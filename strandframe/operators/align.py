@@ -9,6 +9,7 @@ from strandframe.functions.scalars import cigar_ops
 
 
 PILES = 16
+BIN = 14  # bits of the positions in a bin of running sums
 
 
 def strand_swap(reverse: Column, beg: Column, end: Column) -> tuple[Column, Column]:
@@ -42,21 +43,38 @@ def positions(reads: DataFrame, chrom: str = "chrom", pos: str = "pos", cigar: s
 def depth(reads: DataFrame, chrom: str = "chrom", cap: int | None = None, order: list[str] | None = None) -> DataFrame:
     """chrom, ref_pos, depth, n_del, n_skip of each covered position, skips not counted in depth.
 
-    Without a cap this is one aggregation, combined before the shuffle. A cap keeps the first reads
-    of each position by `order`; a first window, over a position's rows as a hash deals them, cuts each of
-    its PILES to the cap, so that no task holds all reads of a deep position.
+    Without a cap a block is two marks, at its begin and after its end, within each bin of 2^BIN
+    positions that it touches. Marks are summed before the shuffle, running sums stay within a bin, and
+    positions are spelled out at the end alone. A cap keeps the first reads of each position by `order`; a
+    first window, over a position's rows as a hash deals them, cuts each of its PILES to the cap, so
+    that no task holds all reads of a deep position.
     """
-    at = positions(reads)
-    if cap is not None:
-        by = order or ["pos", "cigar"]
-        pile = F.pmod(F.xxhash64(*by), F.lit(PILES))
-        piles = Window.partitionBy(chrom, "ref_pos", "pile_").orderBy(*by)
-        at = at.withColumn("pile_", pile).withColumn("rn_", F.row_number().over(piles)).filter(F.col("rn_") <= cap)
-        w = Window.partitionBy(chrom, "ref_pos").orderBy(*by)
-        at = at.withColumn("rn_", F.row_number().over(w)).filter(F.col("rn_") <= cap)
+    if cap is None:
+        return _runs(reads, chrom)
+    by = order or ["pos", "cigar"]
+    piles = Window.partitionBy(chrom, "ref_pos", "pile_").orderBy(*by)
+    at = positions(reads).withColumn("pile_", F.pmod(F.xxhash64(*by), F.lit(PILES)))
+    at = at.withColumn("rn_", F.row_number().over(piles)).filter(F.col("rn_") <= cap)
+    at = at.withColumn("rn_", F.row_number().over(Window.partitionBy(chrom, "ref_pos").orderBy(*by))).filter(F.col("rn_") <= cap)
     return at.groupBy(chrom, "ref_pos").agg(F.count_if(F.col("kind") != "N").alias("depth"), F.count_if(F.col("kind") == "D").alias("n_del"), F.count_if(F.col("kind") == "N").alias("n_skip"))
 
 
+def _runs(reads: DataFrame, chrom: str) -> DataFrame:
+    covered = blocks(reads).filter(F.col("op").isin("M", "=", "X", "D", "N") & (F.col("n") > 0)).select(F.col(chrom).alias("chrom_"), "op", F.col("r").alias("beg_"), (F.col("r") + F.col("n")).alias("end_"))
+    binned = covered.withColumn("bin_", F.explode(F.sequence(F.shiftright("beg_", BIN), F.shiftright(F.col("end_") - 1, BIN))))
+    low = F.shiftleft("bin_", BIN)
+    mark = lambda at, w: F.struct(at.alias("at"), F.lit(w).alias("w"))
+    marks = binned.select("chrom_", "bin_", "op", F.explode(F.array(mark(F.greatest("beg_", low), 1), mark(F.least("end_", low + (1 << BIN)), -1))).alias("m"))
+    total = lambda test: F.sum(F.when(test, F.col("m.w")).otherwise(0))
+    op = F.col("op")
+    summed = marks.groupBy("chrom_", "bin_", F.col("m.at").alias("at_")).agg(total(op != "N").alias("d_"), total(op == "D").alias("x_"), total(op == "N").alias("k_"))
+    w = Window.partitionBy("chrom_", "bin_").orderBy("at_")
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    runs = summed.select(F.col("chrom_").alias(chrom), "at_", F.lead("at_").over(w).alias("next_"), F.sum("d_").over(sofar).alias("depth"), F.sum("x_").over(sofar).alias("n_del"), F.sum("k_").over(sofar).alias("n_skip"))
+    live = runs.filter(F.col("next_").isNotNull() & (F.col("depth") + F.col("n_skip") > 0))
+    return live.select(chrom, F.explode(F.sequence(F.col("at_"), F.col("next_") - 1)).alias("ref_pos"), "depth", "n_del", "n_skip")
+
+
 def depth_by_file(reads: DataFrame, file: str, names: list, chrom: str = "chrom") -> DataFrame:
     """Depth columns of several files by position; the files are named, so no pass looks for them."""
     at = positions(reads).filter(F.col("kind") != "N")
