@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import samplers
 from strandframe.functions import scalars as X
+from strandframe.functions import special
 from strandframe.operators import select, stats, variants
 from strandframe.plans.registry import query, table
 from strandframe.sources import blocked, records
@@ -206,3 +207,14 @@ WITH c AS (SELECT DISTINCT ascii(unnest(string_split(c_name, ''))) AS sym FROM c
 SELECT byte, code FROM d WHERE rn = 1""")
 def nearest_symbols(spark, sf_dir):
     return stats.nearest_codes(stats.symbols(table(spark, sf_dir, "customer"), "c_name"))
+
+
+@query("""
+SELECT o_orderkey, round(lgamma(o_orderkey % 500 + 0.5), 6) AS log_gamma, round(1 - exp(-x), 9) AS p1, round(1 - exp(-x) * (1 + x), 9) AS p2, round(exp(-x) * (1 + x + x * x / 2), 9) AS q3
+FROM (SELECT *, (o_custkey % 400) / 20.0 AS x FROM orders)""")
+def special_functions(spark, sf_dir):
+    """Incomplete gamma functions of whole shapes have closed forms."""
+    x = (F.col("o_custkey") % 400) / 20.0
+    one = lambda f, s: F.round(f(F.lit(float(s)), F.col("x")), 9)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"))
+    return o.select("o_orderkey", F.round(special.log_gamma(F.col("o_orderkey") % 500 + 0.5), 6).alias("log_gamma"), one(special.gamma_p, 1).alias("p1"), one(special.gamma_p, 2).alias("p2"), one(special.gamma_q, 3).alias("q3"))

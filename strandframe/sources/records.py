@@ -6,6 +6,8 @@ where they lie. Compressed files are read by Hadoop's codecs. Empty files give e
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -253,3 +255,67 @@ def read_bnx(spark: SparkSession, path: str | list[str]) -> DataFrame:
     sites = F.transform(numbers(0, "double"), lambda x: F.floor(x).cast("long"))
     out = per.select("file", (F.col("record") - 1).alias("record"), sites.alias("all"), numbers(1, "double").alias("snr"), numbers(2, "double").alias("intensity"))
     return out.select("file", "record", F.element_at("all", -1).alias("length"), (F.size("all") - 1).cast("long").alias("n_sites"), F.slice("all", F.lit(1), F.size("all") - 1).alias("sites"), "snr", "intensity")
+
+
+#: What the first bytes of a kind of file are.
+MAGIC = (("bam", b"BAM\1"), ("bcf", b"BCF\2"), ("cram", b"CRAM"), ("tbi", b"TBI\1"), ("csi", b"CSI\1"), ("bai", b"BAI\1"), ("vcf", b"##fileformat=VCF"), ("bnx", b"# BNX"))
+
+
+def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(format, compression) by content: of the (first) file, compression none, gzip or blocks.
+
+    Text is told by its first lines: sam, vcf, fasta, fastq, bed, or one-code; else 'text', and 'empty' without any.
+    """
+    import zlib
+
+    rows = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("v")).limit(40).collect()
+    raw, how = b"\n".join(bytes(r.v) for r in rows), "none"
+    if raw[:2] == b"\x1f\x8b":  # under a name that Spark does not take for compressed
+        how = "blocks" if raw[3:4] == b"\4" and raw[12:14] == b"BC" else "gzip"
+        raw = zlib.decompressobj(31).decompress(raw, 1 << 16)
+    for name, magic in MAGIC:
+        if raw.startswith(magic):
+            return name, how
+    lines = [x for x in raw.decode("latin-1").split("\n") if x]
+    if not lines:
+        return "empty", how
+    first = next((x for x in lines if not x.startswith("#")), lines[0])
+    fields = first.split("\t")
+    if re.match(r"@(HD|SQ|RG|PG|CO)\t", first) or len(fields) >= 11 and fields[1].isdigit() and fields[3].isdigit():
+        return "sam", how
+    if first.startswith(">"):
+        return "fasta", how
+    if first.startswith("@"):
+        return "fastq", how
+    if len(fields) >= 3 and fields[1].isdigit() and fields[2].isdigit():
+        return "bed", how
+    if re.match(r"1 \d+ [a-z]+ \d+ \d+", first):
+        return "one", how
+    return "text", how
+
+
+def merge_vcf_headers(*headers: list[str]) -> list[str]:
+    """One header of several: each definition once, in order of first sight, samples side by side.
+
+    The same name defined with another Number or Type, and a sample that two files have, are errors.
+    """
+    out, seen, samples = [], {}, []
+    for lines in headers:
+        for x in lines:
+            if x.startswith("#CHROM"):
+                own = x.split("\t")[9:]
+                if twice := set(own) & set(samples):
+                    raise ValueError(f"samples of two files: {sorted(twice)}")
+                samples += own
+                continue
+            m = re.match(r"##(\w+)=<.*?ID=([^,>]+)", x)
+            key = (m[1], m[2]) if m else (x,)
+            what = tuple(re.findall(r"(?:Number|Type)=([^,>]+)", x)) if m else ()
+            if key not in seen:
+                if not (x.startswith("##fileformat") and out):
+                    out.append(x)
+                seen[key] = what
+            elif seen[key] != what:
+                raise ValueError(f"{key[1]} is defined in two ways: {x}")
+    names = "#CHROM POS ID REF ALT QUAL FILTER INFO".split()
+    return [*out, "\t".join([*names, *(["FORMAT", *samples] if samples else [])])]

@@ -415,3 +415,15 @@ def test_program_chain_and_cells(spark):
     assert records.program_chain(head, "p0").count() == 100
     with pytest.raises(ValueError, match="ring"):
         records.program_chain(spark.createDataFrame([("PG", {"ID": "a", "PP": "b"}), ("PG", {"ID": "b", "PP": "a"})], "record string, fields map<string,string>"), "a")
+
+
+def test_special_functions(spark):
+    import math
+
+    from strandframe.functions import special
+
+    z = [1e-3, 0.3, 1.0, 2.5, 40.0, 900.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select(special.log_gamma(F.col("z")).alias("g"), special.erfc(F.col("z")).alias("e"), special.erfc(-F.col("z")).alias("n"), special.gamma_p(F.lit(300.0), F.col("z")).alias("p")).collect()
+    for v, r in zip(z, got):
+        assert r.g == pytest.approx(math.lgamma(v), rel=1e-9, abs=1e-9) and r.e == pytest.approx(math.erfc(v), rel=1e-9, abs=1e-300) and r.n == pytest.approx(math.erfc(-v))
+        assert r.p == pytest.approx(0.0 if v < 100 else 1.0, abs=1e-9)

@@ -475,3 +475,25 @@ def test_read_database():
     rows = list(blocked.db_reads(index, bases))
     assert [r[-1] for r in rows] == seqs and [r[4] for r in rows] == [700] * 3 and [r[5] for r in rows] == [False, True, False]
     assert [r[0] for r in blocked.db_trimmed(rows, 4)] == [0, 2] and [r[0] for r in blocked.db_trimmed(rows, 1, True)] == [0, 1, 2]
+
+
+def test_sniffing(spark, tmp_path):
+    import gzip
+
+    cases = {
+        "a": (b"@HD\tVN:1.6\n", ("sam", "none")), "b": (b"q\t0\tc\t5\t9\t3M\t*\t0\t0\tacg\tIII\n", ("sam", "none")), "c": (b"@r1 x\nac\n+\nII\n", ("fastq", "none")), "d": (b">r1\nac\n", ("fasta", "none")), "e": (b"# c\nchr1\t5\t9\n", ("bed", "none")), "f": (VCF.encode(), ("vcf", "none")),
+        "g": (b"1 3 seq 1 0\n", ("one", "none")), "h": (b"hello\n", ("text", "none")), "i": (b"", ("empty", "none")), "j": (gzip.compress(b">r\nac\n"), ("fasta", "gzip")), "k": (blocked.bam_bytes("", [("c", 5)], []), ("bam", "blocks")), "l": (blocked.compress_blocks(VCF.encode()), ("vcf", "blocks")),
+    }
+    for name, (raw, want) in cases.items():
+        (tmp_path / name).write_bytes(raw)
+        assert records.sniff(spark, f"file://{tmp_path}/{name}") == want, name
+
+
+def test_merged_headers():
+    a = ["##fileformat=VCFv4.2", "##INFO=<ID=DP,Number=1,Type=Integer,Description=\"x, y\">", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA"]
+    b = ["##fileformat=VCFv4.3", "##INFO=<ID=DP,Number=1,Type=Integer,Description=\"other\">", "##FILTER=<ID=q10,Description=\"q\">", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tB"]
+    assert records.merge_vcf_headers(a, b) == [a[0], a[1], b[2], "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB"]
+    with pytest.raises(ValueError, match="samples"):
+        records.merge_vcf_headers(a, a)
+    with pytest.raises(ValueError, match="two ways"):
+        records.merge_vcf_headers(a, [a[1].replace("Integer", "Float")])
