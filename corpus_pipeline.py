@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm import langid, neardup, packing, quality, secrets
-from strandframe.llm.common import durable, held_out, keep_rows, scratch, table
+from strandframe.llm.common import collecting, drop_tables, durable, held_out, keep_rows, scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -70,9 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage has written on its way is dropped once its own result is written."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        with scratch(spark):
-            docs = durable(stage(spark, docs, sf_dir), lasting=True)
+    """The last stage's rows. A stage's input, and what it writes on its way, are dropped once its own result is written."""
+    docs, written = table(spark, sf_dir, "documents"), []
+    with collecting(written):
+        for _, stage in STAGES[:-1]:
+            with scratch(spark):
+                docs = durable(stage(spark, docs, sf_dir), lasting=True)
+            drop_tables(spark, written[:-1])
+            del written[:-1]
     return STAGES[-1][1](spark, docs, sf_dir)
