@@ -20,10 +20,10 @@ texts side by side. A task walks its run in windows and proposes, for each text,
 earlier texts that are likely by signature; buckets of which it has not proposed all likely pairs it reports as
 open. Once the proposed pairs are verified and classes formed, an open bucket that lies in one
 class has nothing left to find. In the others the texts outside the largest class meet all of the
-bucket by their signatures alone, in blocks, and each block proposes to each of them its likeliest
-partner in another class. What is verified joins classes; to texts that are still apart, the next
-rounds propose more partners (STEPS), and the last one all. So a bucket of n copies costs some n pairs, and yet no
-likely pair between different classes stays unverified, whatever a bucket's size.
+bucket by their signatures alone, in blocks. Those that have a likely partner in another class meet
+a second time, with their multisets, in smaller blocks, and every likely pair across classes is
+verified there unless the block has already joined the two. So a bucket of n copies costs some n
+pairs, and yet no likely pair between different classes stays unverified, whatever a bucket's size.
 
 Likely are pairs of which LIKELY of the registers agree in half a byte and whose sizes allow a
 similarity of 0.8. A pair at 0.8 has 52 of 64 equal half bytes in the mean, with a deviation of 3.1,
@@ -54,7 +54,7 @@ BANDS, DEPTH = 16, 4
 REGISTERS = BANDS * DEPTH
 WINDOW = 512  # texts of a bucket that are held side by side in the first pass
 BLOCK = 512  # texts of an open bucket, on either side, whose signatures are held at once
-STEPS = (1, 4, 64, None)  # partners in other classes that a block proposes to a text, by round
+BAGS = 128  # the same with their multisets
 FILTERED = 1 << 24  # texts in pairs up to which their Bloom filter, of 64 MB at most, is broadcast
 LIKELY = 0.56  # share of registers with equal half bytes from which a pair is proposed: 5 standard deviations below 0.8
 
@@ -342,54 +342,68 @@ def verified(pairs: DataFrame, known: DataFrame, enough: float = ENOUGH) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
-def likeliest(rows: DataFrame, classed: DataFrame, most: int | None) -> DataFrame:
-    """a, b: texts outside an open band's largest class with their `most` likeliest partners of other classes in each block; more: whether there were others.
+def _meetings(rows: DataFrame, cols: list[str], size: int) -> DataFrame:
+    """band, block, turn, asks and `cols`: in each band of several classes, the texts outside the largest one (asks) next to all of the band, `size` on either side.
 
-    `rows` are (band, tid, brief, bands), `classed` has tid and root of the texts in classes so far. A
-    pair is looked at in the first band that both share, so that none is proposed twice.
+    `rows` have band, tid and root, and are a written table.
     """
-    rows = durable(rows.join(classed, "tid", "left").select("band", "tid", "brief", "bands", F.coalesce("root", "tid").alias("root")))
     per = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
     split = per.groupBy("band").agg(F.count("*").alias("roots"), F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("roots > 1")
-    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    left = durable(rows.join(split.select("band", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("turns")), "band"))
+    blocks = lambda n: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+    left = rows.join(split.select("band", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("turns")), "band")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("tid"), F.col(n)).cast("int")
-    cols = ["tid", "root", "brief", "bands"]
     members = left.select("band", own("blocks").alias("block"), every("turns").alias("turn"), F.lit(False).alias("asks"), *cols)
     askers = left.filter(F.col("root") != F.col("largest")).select("band", every("blocks").alias("block"), own("turns").alias("turn"), F.lit(True).alias("asks"), *cols)
-
-    def compare(table: pa.Table) -> pa.Table:
-        asks, tid, root = table["asks"].to_numpy(), table["tid"].to_numpy(), table["root"].to_numpy()
-        regs, sizes = _signs(table["brief"])
-        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        here, them, found, more = table["band"][0].as_py(), np.flatnonzero(~asks), [np.zeros((2, 0), np.int64)], False
-        for i in np.flatnonzero(asks):
-            likely, equal = _likely(regs[them], sizes[them], regs[i], sizes[i])
-            likely = likely[root[them[likely]] != root[i]]
+    return members.unionByName(askers)
+
+
+def _cross_pairs(table: pa.Table):
+    """Row numbers i and j, of each asking text and its likely partners in other classes of which this is the first band that both share, the likeliest first."""
+    asks, root = table["asks"].to_numpy(), table["root"].to_numpy()
+    regs, sizes = _signs(table["brief"])
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    here, them = table["band"][0].as_py(), np.flatnonzero(~asks)
+    for i in np.flatnonzero(asks):
+        likely, equal = _likely(regs[them], sizes[them], regs[i], sizes[i])
+        likely = likely[root[them[likely]] != root[i]]
+        if len(likely):
             shared = bands[them[likely]] == bands[i]
             likely = likely[bands[i][shared.argmax(1)] == here]
-            if most is not None and len(likely) > most:
-                likely, more = likely[np.argsort(-equal[likely], kind="stable")[:most]], True
-            found.append(np.stack([np.full(len(likely), i), them[likely]]))
-        i, j = np.concatenate(found, 1)
-        a, b = tid[i], tid[j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": np.full(len(a), more)})
+            yield i, them[likely[np.argsort(-equal[likely], kind="stable")]]
+
+
+def further_links(rows: DataFrame, classed: DataFrame, known: DataFrame, enough: float = ENOUGH) -> DataFrame:
+    """a, b: near duplicates across classes in the open bands, whose `rows` are (band, tid, brief, bands).
 
-    return members.unionByName(askers).groupBy("band", "block", "turn").applyInArrow(compare, "a long, b long, more boolean")
+    `classed` has tid and root of the texts in classes so far. A first step, by signatures alone, finds
+    the texts that have a likely partner in another class; these meet again with their multisets.
+    A pair is looked at in the first band that both share, so that none is verified twice.
+    """
+    rows = durable(rows.join(classed, "tid", "left").select("band", "tid", "brief", "bands", F.coalesce("root", "tid").alias("root")))
+
+    def find(table: pa.Table) -> pa.Table:
+        found = [np.r_[i, j] for i, j in _cross_pairs(table) if len(j)]
+        tid = np.unique(table["tid"].to_numpy()[np.concatenate(found)]) if found else np.zeros(0, np.int64)
+        return pa.table({"band": np.full(len(tid), table["band"][0].as_py(), np.int64), "tid": tid})
 
+    cols = ["tid", "root", "brief", "bands"]
+    restless = durable(_meetings(rows, cols, BLOCK).groupBy("band", "block", "turn").applyInArrow(find, "band long, tid long").distinct())
+    rows = durable(rows.join(restless, ["band", "tid"]))
+    bags = durable(known.join(rows.select("tid").distinct(), "tid"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        tid, root, bag, a, b = table["tid"].to_numpy(), table["root"].to_numpy().copy(), table["bag"], [], []
+        for i, partners in _cross_pairs(table):
+            for j in partners:
+                if root[j] != root[i] and similarity(bag[int(i)].as_py(), bag[int(j)].as_py()) >= enough:
+                    a.append(int(tid[i]))
+                    b.append(int(tid[j]))
+                    root[root == root[i]] = root[j]  # what the block has joined needs no more pairs
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def further_links(rows: DataFrame, roots: DataFrame, known: DataFrame, enough: float = ENOUGH) -> DataFrame:
-    """`roots` (node, root) with the near duplicates across classes in the open bands joined, too."""
-    for most in STEPS:
-        found = durable(likeliest(rows, roots.select(F.col("node").alias("tid"), "root"), most))
-        n, more = found.agg(F.count("*"), F.coalesce(F.max("more"), F.lit(False))).first()
-        links = durable(verified(found.select("a", "b").distinct(), known, enough)) if n else found
-        if n and links.limit(1).count():
-            roots = joined_classes(roots, links)
-        if not more:
-            break
-    return roots
+    met = _meetings(rows, cols, BAGS).join(bags, "tid").groupBy("band", "block", "turn")
+    return durable(met.applyInArrow(compare, "a long, b long").distinct())
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -442,7 +456,10 @@ def classes(docs: DataFrame, key: str, text: str, enough: float = ENOUGH) -> Dat
         rows = durable(_band_rows(texts, "bands").join(opened, "band"))
         ids = pairs.select(F.explode(F.array("a", "b")).alias("tid")).union(rows.select("tid")).distinct()
         known = bags(durable(texts.select("tid", "same").join(ids, "tid")), docs, text)
-        roots = further_links(rows, components(verified(pairs, known, enough)), known, enough)
+        roots = components(verified(pairs, known, enough))
+        more = further_links(rows, roots.select(F.col("node").alias("tid"), "root"), known, enough)
+        if more.limit(1).count():
+            roots = joined_classes(roots, more)
         # a large class has many texts of one root: its join is one of plain exchanges, too
         in_class = texts.select("tid", "same", "first").join(roots.withColumnRenamed("node", "tid"), "tid", "left")
         in_class = durable(in_class.select("same", "first", F.coalesce("root", "tid").alias("root")))

@@ -177,7 +177,7 @@ def test_briefs_tell_texts_apart(spark):
 
 def test_near_copies_at_the_border(spark, monkeypatch):
     """Large buckets of texts of similarity about 0.8 to each other, with small windows and blocks: classes equal brute force."""
-    for name, value in (("WINDOW", 8), ("BLOCK", 8), ("STEPS", (1, 2, None))):
+    for name, value in (("WINDOW", 8), ("BLOCK", 8), ("BAGS", 4)):
         monkeypatch.setattr(neardup, name, value)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(500)]
