@@ -55,6 +55,7 @@ REGISTERS = BANDS * DEPTH
 WINDOW = 512  # texts of a bucket that are held side by side in the first pass
 BLOCK = 512  # texts of an open bucket, on either side, whose signatures are held at once
 BAGS = 128  # the same with their multisets
+SPLIT = 500_000  # open bands of several classes that are broadcast, 24 bytes each; joined by a shuffle beyond
 FILTERED = 1 << 24  # texts in pairs up to which their Bloom filter, of 64 MB at most, is broadcast
 LIKELY = 0.56  # share of registers with equal half bytes from which a pair is proposed: 5 standard deviations below 0.8
 
@@ -350,7 +351,9 @@ def _meetings(rows: DataFrame, cols: list[str], size: int) -> DataFrame:
     per = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
     split = per.groupBy("band").agg(F.count("*").alias("roots"), F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("roots > 1")
     blocks = lambda n: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
-    left = rows.join(split.select("band", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("turns")), "band")
+    split = durable(split.select("band", "largest", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most")).alias("turns")))
+    # a row a band: broadcast up to a bound, so that the rows of a large band stay where they are
+    left = rows.join(F.broadcast(split) if split.count() <= SPLIT else split, "band")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("tid"), F.col(n)).cast("int")
     members = left.select("band", own("blocks").alias("block"), every("turns").alias("turn"), F.lit(False).alias("asks"), *cols)
