@@ -11,13 +11,16 @@ Null texts and texts without a letter (of Unicode's kinds L) are `und` with scor
 rejected. Whole texts are read, in slices where long, so memory is bounded. Repeated rows get the
 same answer. Without a labelled row every text is `und`. The fit takes at most `PER_LANGUAGE`
 labelled texts a language, chosen by a hash of the id, of an id the smallest; tasks turn them into
-shares of buckets, so that the driver gets some 50 KB a text at most, whatever its length. The
-prediction reads the text alone.
+shares of buckets, some 50 KB a text at most, whatever its length. The driver fetches FETCH of them
+at a time and keeps them in a local file, from which training reads its batches: its memory does not
+grow with the number of languages, but for the model (32 KB each). The prediction reads the text alone.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +32,8 @@ from strandframe.llm.common import small
 
 PER_LANGUAGE = 500  # labelled texts of each language that the fit may read
 BUCKETS = 1 << 13
+FETCH = 1000  # histograms that the driver gets at once, 50 MB at most
+HELD = 2048  # histograms that calibration holds at once
 SLICE = 1 << 16  # bytes that are hashed at once
 _LETTERLIKE = re.compile(r"[^\W\d_]")  # letters, and numerals such as ² or Ⅷ
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -96,14 +101,51 @@ class Model:
         return self.languages[best], float(p[best]), bool(p[best] < self.level)
 
 
-def train(texts: list, labels: list[str], dim: int = 16, epochs: int = 30, batch: int = 32, rate: float = 30.0, lose: float = 0.002, seed: int = 7) -> Model:
+class Histograms:
+    """Histograms in a local file; memory holds a place of each, and those that are asked for."""
+
+    def __init__(self, found=()):
+        self._file, self._ends, self._order = tempfile.TemporaryFile(), [0], None
+        for h in found:
+            at = np.flatnonzero(h)
+            self.add(at.astype("<u2").tobytes(), h[at].astype("<f4").tobytes())
+
+    def add(self, at: bytes, share: bytes) -> None:
+        self._ends.append(self._ends[-1] + self._file.write(share) + self._file.write(at))
+
+    def order(self, numbers: list[int]) -> None:
+        """From now on only these, in this order."""
+        self._file.flush()
+        self._order = numbers
+
+    def __len__(self) -> int:
+        return len(self._ends) - 1 if self._order is None else len(self._order)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i >= len(self):
+            raise IndexError(i)
+        return self.dense([i])[0]
+
+    def dense(self, some) -> np.ndarray:
+        self._file.flush()
+        out = np.zeros((len(some), BUCKETS), np.float32)
+        for row, i in zip(out, some):
+            k = i if self._order is None else self._order[i]
+            raw = os.pread(self._file.fileno(), self._ends[k + 1] - self._ends[k], self._ends[k])
+            n = len(raw) // 6
+            row[np.frombuffer(raw, "<u2", n, 4 * n)] = np.frombuffer(raw, "<f4", n)
+        return out
+
+
+def train(texts: list | Histograms, labels: list[str], dim: int = 16, epochs: int = 30, batch: int = 32, rate: float = 30.0, lose: float = 0.002, seed: int = 7) -> Model:
     """Fit on labelled texts, or their histograms; every fifth is kept for calibration."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     rng = np.random.default_rng(seed)
-    x = np.stack([histogram(t) if isinstance(t, str) else t for t in texts])
-    y = np.array([languages.index(v) for v in labels])
+    x = texts if isinstance(texts, Histograms) else Histograms(histogram(t) if isinstance(t, str) else t for t in texts)
+    place = {v: i for i, v in enumerate(languages)}
+    y = np.array([place[v] for v in labels])
     order = rng.permutation(len(y))
     held = order[: len(y) // 5] if len(y) >= 20 else order
     fit = order[len(y) // 5 :] if len(y) >= 20 else order
@@ -116,7 +158,7 @@ def train(texts: list, labels: list[str], dim: int = 16, epochs: int = 30, batch
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in np.array_split(rng.permutation(fit), max(1, len(fit) // batch)):
-            seen = x[i]
+            seen = x.dense(i)
             mean = seen @ table
             z = mean @ layer + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -129,36 +171,55 @@ def train(texts: list, labels: list[str], dim: int = 16, epochs: int = 30, batch
                 s -= r * np.clip(g, -1, 1)
                 v += s
     model = Model(languages, table @ layer, bias, embeddings=table)
-    z = model.logits(x[held])
-    right = z.argmax(1) == y[held]
+    # logits lie in a file, too: there are as many a text as languages
+    z = np.memmap(tempfile.TemporaryFile(), np.float32, "w+", shape=(len(held), len(languages)))
+    for at in range(0, len(held), HELD):
+        z[at : at + HELD] = model.logits(x.dense(held[at : at + HELD]))
+    step = max(HELD, (1 << 22) // len(languages))
+    cuts = [slice(at, at + step) for at in range(0, len(held), step)]
+    right = np.concatenate([z[c].argmax(1) == y[held[c]] for c in cuts])
+
+    def softmax(c: slice, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """Logits over t without their maximum, and the sums of their exponentials."""
+        q = np.asarray(z[c]) / t
+        q -= q.max(1, keepdims=True)
+        return q, np.exp(q).sum(1)
 
     def loss(t: float) -> float:
-        q = z / t
-        q = q - q.max(1, keepdims=True)
-        return float(-(q[np.arange(len(held)), y[held]] - np.log(np.exp(q).sum(1))).mean())
+        total = 0.0
+        for c in cuts:
+            q, sums = softmax(c, t)
+            total -= float((q[np.arange(len(q)), y[held[c]]] - np.log(sums)).sum(dtype=np.float64))
+        return total / len(held)
 
     model.temperature = min(np.geomspace(0.25, 20, 60), key=loss)
-    sure = np.sort(model.probabilities(x[held]).max(1)[right])
+    sure = np.sort(np.concatenate([1 / softmax(c, model.temperature)[1] for c in cuts])[right])
     if len(sure):
         # a margin below the quantile: few calibration texts say little of the tail
         model.level = min(0.5, float(sure[int(lose * len(sure))]) * 0.9)
     return model
 
 
-def chosen(rows: DataFrame, label: str, each: int, key: str, salt: int = 17) -> DataFrame | None:
+def counted(rows: DataFrame, label: str, key: str) -> dict:
+    """About how many ids each label has."""
+    return {r[0]: max(1, r[1]) for r in rows.groupBy(label).agg(F.approx_count_distinct(key)).collect()}
+
+
+def chosen(rows: DataFrame, label: str, each: int, key: str, salt: int = 17, counts: dict | None = None) -> DataFrame | None:
     """Some `each` ids a label, those whose hash is smallest, with that hash as `hash_`: one row an id, of its smallest values.
 
     A pass counts the labels' ids (one row each). A label's share of the hash's whole range is at
     least what holds one expected id in any number of them; no window holds a label's rows, and an
     id of any number of rows is aggregated before it is shuffled.
     """
-    counts = {r[0]: max(1, r[1]) for r in rows.groupBy(label).agg(F.approx_count_distinct(key)).collect()}
+    counts = counted(rows, label, key) if counts is None else counts
     if not counts:
         return None
-    most = F.lit(None).cast("long")
-    for name, n in counts.items():
-        most = F.when(F.col(label) == name, F.lit(min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 1.2 * each / n))))).otherwise(most)
-    hashed = rows.withColumn("hash_", F.xxhash64(F.lit(salt), key)).filter(F.col("hash_") <= most)
+    # a row a label, joined: a condition a label would nest as deep as there are labels
+    most = [min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 1.2 * each / n))) for n in counts.values()]
+    limits = rows.sparkSession.createDataFrame(pa.table({label: pa.array(list(counts)), "most_": pa.array(most, pa.int64())}))
+    limits = limits.select(F.col(label).cast(rows.schema[label].dataType), "most_")
+    hashed = rows.join(F.broadcast(limits), label).withColumn("hash_", F.xxhash64(F.lit(salt), key)).filter(F.col("hash_") <= F.col("most_"))
     others = [c for c in rows.columns if c != label]
     return hashed.groupBy(label, "hash_").agg(*[F.min(c).alias(c) for c in others])
 
@@ -172,12 +233,13 @@ def by_label(rows: list, each: int) -> tuple[list[str], list]:
     return [t for v in taken.values() for t in v], [n for n, v in taken.items() for _ in v]
 
 
-def sample(docs: DataFrame, key: str, text: str, label: str, where: Column, each: int = PER_LANGUAGE) -> tuple[list[np.ndarray], list[str]]:
-    """Histograms of at most `each` whole texts of each label, made by the tasks."""
+def sample(docs: DataFrame, key: str, text: str, label: str, where: Column, each: int = PER_LANGUAGE) -> tuple[Histograms, list[str]]:
+    """Histograms of at most `each` whole texts of each label, made by the tasks and fetched FETCH at a time."""
     known = docs.filter(where & F.col(label).isNotNull()).select(F.col(key).alias("key_"), F.col(text).alias("text_"), F.col(label).alias("label_"))
-    rows = chosen(known, "label_", each, "key_")
+    counts, out = counted(known, "label_", "key_"), Histograms()
+    rows = chosen(known, "label_", each, "key_", counts=counts)
     if rows is None:
-        return [], []
+        return out, []
 
     def run(batches):
         for batch in small(batches):
@@ -188,13 +250,14 @@ def sample(docs: DataFrame, key: str, text: str, label: str, where: Column, each
             yield pa.RecordBatch.from_arrays([*raw, batch.column(1).take(pa.array(own, pa.int64())), batch.column(2).take(pa.array(own, pa.int64()))], ["at", "share", "label_", "hash_"])
 
     kind = known.schema["label_"].dataType.simpleString()
-    got = rows.select("text_", "label_", "hash_").mapInArrow(run, f"at binary, share binary, label_ {kind}, hash_ long").collect()
-    values, labels = by_label([((r[0], r[1]), r[2], r[3]) for r in got], each)
-    out = []
-    for at, share in values:
-        whole = np.zeros(BUCKETS, np.float32)
-        whole[np.frombuffer(at, "<u2")] = np.frombuffer(share, "<f4")
-        out.append(whole)
+    made = rows.select("text_", "label_", "hash_").mapInArrow(run, f"at binary, share binary, label_ {kind}, hash_ long")
+    parts = max(1, -(-int(sum(min(n, 1.2 * each) for n in counts.values())) // FETCH))
+    got = []
+    for at, share, name, hashed in made.repartition(parts).toLocalIterator():
+        got.append((len(got), name, hashed))
+        out.add(bytes(at), bytes(share))
+    numbers, labels = by_label(got, each)
+    out.order(numbers)
     return out, labels
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -112,6 +116,29 @@ def test_fits_are_bounded(spark, monkeypatch):
     assert model.predict("good text")[0] == "en" and model.predict("und sehr schlecht")[0] == "de"
 
 
+def test_many_languages(spark, tmp_path):
+    """Histograms of many languages exceed what the driver may get at once; very many labels are chosen from without a nested condition."""
+    script = """
+import random
+from pyspark.sql import SparkSession, functions as F
+from strandframe.llm import langid
+spark = SparkSession.builder.master("local[2]").config("spark.driver.maxResultSize", "3m").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+langid.FETCH = 40
+rng = random.Random(3)
+rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(500)), f"l{i % 40}") for i in range(240)]
+docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+shares, langs = langid.sample(docs, "doc_id", "text", "lang", F.lit(True))
+assert sorted(langs) == sorted(r[2] for r in rows), len(langs)
+want = {tuple(langid.histogram(t).nonzero()[0]): l for _, t, l in rows}
+assert all(want[tuple(h.nonzero()[0])] == l for h, l in zip(shares, langs))
+print("whole")
+"""
+    got = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(Path(langid.__file__).parents[2])}, capture_output=True, text=True, timeout=300)
+    assert got.stdout.split()[-1:] == ["whole"], got.stderr[-2000:]
+    many = spark.range(6000).select("id", F.concat(F.lit("l"), F.col("id") % 3000).alias("label_"), F.lit("text").alias("text_"))
+    assert langid.chosen(many, "label_", 5, "id").agg(F.count("*"), F.count_distinct("label_")).first()[:] == (6000, 3000)
+
+
 # --- near duplicates -----------------------------------------------------------------------
 
 
