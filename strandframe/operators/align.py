@@ -45,15 +45,20 @@ def depth(reads: DataFrame, chrom: str = "chrom", cap: int | None = None, order:
 
     Without a cap a block is two marks, at its begin and after its end, within each bin of 2^BIN
     positions that it touches. Marks are summed before the shuffle, running sums stay within a bin, and
-    positions are spelled out at the end alone. A cap keeps the first reads of each position by `order`; a
-    first window, over a position's rows as a hash deals them, cuts each of its PILES to the cap, so
-    that no task holds all reads of a deep position.
+    positions are spelled out at the end alone. A cap keeps the first reads of each position by `order`.
+    Reads of one begin and alignment cover the same positions in the same way, so that of each such
+    group only the first `cap` reads can be among them: the others go before any position is spelled
+    out. A first window, over a position's rows as a hash deals them, cuts each of its PILES to the cap,
+    so that no task holds all reads of a deep position.
     """
     if cap is None:
         return _runs(reads, chrom)
     by = order or ["pos", "cigar"]
+    own = [c for c in by if c in reads.columns]  # kind and the like are one within a group
+    alike = Window.partitionBy(chrom, "pos", "cigar").orderBy(*own or ["pos"])
+    first = reads.select(*dict.fromkeys([chrom, "pos", "cigar", *own])).withColumn("rn_", F.row_number().over(alike)).filter(F.col("rn_") <= cap).drop("rn_")
     piles = Window.partitionBy(chrom, "ref_pos", "pile_").orderBy(*by)
-    at = positions(reads).withColumn("pile_", F.pmod(F.xxhash64(*by), F.lit(PILES)))
+    at = positions(first).withColumn("pile_", F.pmod(F.xxhash64(*by), F.lit(PILES)))
     at = at.withColumn("rn_", F.row_number().over(piles)).filter(F.col("rn_") <= cap)
     at = at.withColumn("rn_", F.row_number().over(Window.partitionBy(chrom, "ref_pos").orderBy(*by))).filter(F.col("rn_") <= cap)
     return at.groupBy(chrom, "ref_pos").agg(F.count_if(F.col("kind") != "N").alias("depth"), F.count_if(F.col("kind") == "D").alias("n_del"), F.count_if(F.col("kind") == "N").alias("n_skip"))
