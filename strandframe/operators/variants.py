@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -199,26 +200,34 @@ def restricted(sites: DataFrame, regions: DataFrame, shift: int = 13) -> DataFra
     return held.filter((F.col("pos") >= F.col("beg")) & (F.col("pos") <= F.col("end"))).select(*sites.columns)
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    """log of n over k as a sum; exact enough for tables of small counts and free of UDFs."""
-    steps = F.sequence(F.lit(1), F.greatest(k, F.lit(1)))
-    return F.when(k <= 0, 0.0).otherwise(F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i)))
-
-
 def fisher(n11: Column, n12: Column, n21: Column, n22: Column) -> Column:
-    """struct<left, right, two>: Fisher's exact test; all 1 where only one table is possible."""
-    n11, n12, n21, n22 = [c.cast("int") for c in (n11, n12, n21, n22)]
+    """struct<left, right, two>: Fisher's exact test; all 1 where only one table is possible.
+
+    Probabilities follow from their neighbours', from the likeliest table on to both sides, and are kept as
+    sums alone: the work grows with the number of possible tables.
+    """
+    n11, n12, n21, n22 = [c.cast("long") for c in (n11, n12, n21, n22)]
     row, col, n = n11 + n12, n11 + n21, n11 + n12 + n21 + n22
-    low, high = F.greatest(F.lit(0), row + col - n), F.least(row, col)
-    whole = _log_choose(n, col)
-    p = lambda i: F.exp(_log_choose(row, i) + _log_choose(n - row, col - i) - whole)
-    probs = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), p(i).alias("p")))
-    own = F.array_max(F.transform(F.filter(probs, lambda x: x["i"] == n11), lambda x: x["p"]))
-    total = lambda keep: F.least(F.lit(1.0), F.aggregate(F.filter(probs, keep), F.lit(0.0), lambda s, x: s + x["p"]))
-    one = lambda c: F.when(low == high, 1.0).otherwise(c)
-    return F.struct(
-        one(total(lambda x: x["i"] <= n11)).alias("left"), one(total(lambda x: x["i"] >= n11)).alias("right"), one(total(lambda x: x["p"] <= own * (1 + 1e-7))).alias("two")
-    )
+    low, high = F.greatest(F.lit(0).cast("long"), row + col - n), F.least(row, col)
+    likeliest = F.greatest(low, F.least(high, F.floor((row + 1).cast("double") * (col + 1) / (n + 2))))
+    ratio = lambda i: F.ln((row - i).cast("double") * (col - i) / ((i + 1).cast("double") * (n - row - col + i + 1)))  # noqa: E731  log of p(i + 1) / p(i)
+    none = F.array().cast("array<bigint>")
+    up = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    down = F.when(low < likeliest, F.sequence(likeliest - 1, low, F.lit(-1).cast("long"))).otherwise(none)
+    fold = lambda steps, sign: F.aggregate(steps, F.lit(0.0), lambda s, i: s + sign * ratio(i))
+    own = fold(up(likeliest, n11 - 1), 1) + fold(up(n11, likeliest - 1), -1)  # logs are relative to the likeliest table's
+
+    def sums(of: dict, log: Column, i: Column, most: Column) -> Column:
+        p, none_ = F.exp(log), F.lit(0.0)
+        tests = {"left": i <= n11, "right": i >= n11, "two": log <= most, "all": F.lit(True)}
+        return F.struct(log.alias("log"), most.alias("most"), *[(of.get(k, none_) + F.when(t, p).otherwise(0.0)).alias(k) for k, t in tests.items()])
+
+    fields = ("left", "right", "two", "all")
+    step = lambda at, sign: lambda a, i: sums({k: a[k] for k in fields}, a["log"] + sign * ratio(i), i + at, a["most"])
+    start = sums({}, F.lit(0.0), likeliest, own + math.log1p(1e-7))
+    upper = F.aggregate(up(likeliest, high - 1), start, step(1, 1), lambda a: F.struct(F.lit(0.0).alias("log"), a["most"].alias("most"), *[a[k].alias(k) for k in fields]))
+    share = lambda a, k: F.least(F.lit(1.0), a[k] / a["all"]).alias(k)
+    return F.when(n.isNotNull(), F.aggregate(down, upper, step(0, -1), lambda a: F.struct(share(a, "left"), share(a, "right"), share(a, "two"))))
 
 
 def union_metadata(*frames: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from strandframe.operators import align
+from strandframe.operators import align, variants
 
 
 def test_capped_pile_spells_out_few_reads(spark, monkeypatch):
@@ -22,3 +25,19 @@ def test_capped_pile_spells_out_few_reads(spark, monkeypatch):
     first = {p: [r[3] for r in sorted(v)[:4]] for p, v in at.items()}
     assert got == {p: (sum(k != "N" for k in v), v.count("D"), v.count("N")) for p, v in first.items()}
     assert seen == [4 * 7 * 3]
+
+
+@pytest.mark.parametrize("cells", [(3, 5, 4, 9), (0, 7, 9, 2), (30, 2, 1, 40), (0, 0, 5, 6), (1200, 1100, 900, 1000), (40_000, 39_500, 39_900, 40_100)])
+def test_fisher_of_large_tables(spark, cells):
+    """The work grows with the number of possible tables, not with its square."""
+    a, b, c, d = cells
+    lf = [0.0]
+    for i in range(1, sum(cells) + 1):
+        lf.append(lf[-1] + math.log(i))
+    choose = lambda n, k: lf[n] - lf[k] - lf[n - k]
+    p = {i: math.exp(choose(a + b, i) + choose(c + d, a + c - i) - choose(a + b + c + d, a + c)) for i in range(max(0, a - d), min(a + b, a + c) + 1)}
+    began = time.time()
+    r = spark.createDataFrame([cells], "a long, b long, c long, d long").select(variants.fisher(*map(F.col, "abcd")).alias("r")).first().r
+    assert time.time() - began < 60
+    want = [sum(v for i, v in p.items() if i <= a), sum(v for i, v in p.items() if i >= a), sum(v for v in p.values() if v <= p[a] * (1 + 1e-7))]
+    assert list(r) == pytest.approx([min(1.0, w) for w in want], rel=1e-6, abs=1e-12)
