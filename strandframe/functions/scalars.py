@@ -81,8 +81,17 @@ def byte_width(values: Column) -> Column:
     return reduce(lambda out, n: F.when(most < F.lit(1 << 8 * n - 1), n).otherwise(out), range(7, 0, -1), F.lit(8))
 
 
+def product(*factors: Column) -> Column:
+    """The product of whole numbers; null where it leaves 64 bits, whatever the order of the factors, or a factor is null."""
+    longs = [f.cast("long") for f in factors]
+    about = F.abs(reduce(lambda a, f: a * f.cast("double"), longs, F.lit(1.0)))  # which rows leave 64 bits, but for those near the border
+    zero = reduce(Column.__or__, [f == 0 for f in longs]) & reduce(Column.__and__, [f.isNotNull() for f in longs])
+    whole = F.when(about < 9.2e18, reduce(Column.__mul__, longs)).when(about < 9.3e18, reduce(F.try_multiply, longs))
+    return F.when(zero, F.lit(0).cast("long")).otherwise(whole)
+
+
 def varint_bytes(value: Column) -> Column:
-    """Bytes of the variable-length integer code: 6 bits in one, 13 in two if not negative, then 1 + 2 to 8."""
+    """Bytes of the variable-length integer code: 6 bits in one, 13 in two if not negative, then 1 + 2 to 8; 9 also for what product() finds too long."""
     size = F.when(value >= 0, value).otherwise(-(value + 1))
     longer = reduce(lambda out, n: F.when(size < F.lit(1 << 8 * n), n + 1).otherwise(out), range(7, 1, -1), F.lit(9))
     return F.when(size < 64, 1).when((value >= 0) & (value < 1 << 13), 2).otherwise(longer)

@@ -62,7 +62,8 @@ _VS = f"(CASE WHEN {_V} >= 0 THEN {_V} ELSE -({_V} + 1) END)"
 SELECT CASE WHEN {_VS} < 64 THEN 1 WHEN {_V} >= 0 AND {_V} < 8192 THEN 2 {" ".join(f"WHEN {_VS} < {1 << 8 * n} THEN {n + 1}" for n in range(2, 8))} ELSE 9 END AS bytes,
        count(*) AS n FROM lineitem GROUP BY 1""")
 def varint_bytes(spark, sf_dir):
-    v = (F.col("l_orderkey") - 5000) * F.when(F.col("l_linenumber") == 1, 1).otherwise(F.col("l_partkey") * F.col("l_suppkey") * 100003)
+    key = F.col("l_orderkey") - 5000
+    v = F.when(F.col("l_linenumber") == 1, key).otherwise(X.product(key, F.col("l_partkey"), F.col("l_suppkey"), F.lit(100003)))
     return table(spark, sf_dir, "lineitem").groupBy(X.varint_bytes(v).alias("bytes")).agg(F.count("*").alias("n"))
 
 

@@ -8,7 +8,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from strandframe.functions import scalars as X
 from strandframe.operators import align, variants
+from strandframe.plans.queries import QUERIES
 
 
 def test_capped_pile_spells_out_few_reads(spark, monkeypatch):
@@ -41,3 +43,11 @@ def test_fisher_of_large_tables(spark, cells):
     assert time.time() - began < 60
     want = [sum(v for i, v in p.items() if i <= a), sum(v for i, v in p.items() if i >= a), sum(v for v in p.values() if v <= p[a] * (1 + 1e-7))]
     assert list(r) == pytest.approx([min(1.0, w) for w in want], rel=1e-6, abs=1e-12)
+
+
+def test_varint_of_products_beyond_64_bits(spark, tmp_path):
+    rows = [(5000, 2, 1 << 40, 1 << 40), (900_000, 2, 120_000, 6_000), (1, 3, 120_000, 1 << 40), (5001, 1, 1 << 40, 1 << 40), (None, 2, 1, 1), (5000, 2, None, 1 << 62)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.bytes: r.n for r in QUERIES["varint_bytes"](spark, str(tmp_path)).collect()} == {1: 2, 9: 4}
+    assert spark.range(1).select(X.product(F.lit(3), F.lit(-5)), X.product(F.lit(1 << 40), F.lit(1 << 40), F.lit(0)), X.product(F.lit(1 << 40), F.lit(1 << 40))).first()[:] == (-15, 0, None)
+    assert spark.range(1).select(X.product(F.lit((1 << 62) - 1), F.lit(2)), X.product(F.lit(1 << 62), F.lit(2))).first()[:] == ((1 << 63) - 2, None)
