@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SLICE = 1 << 16  # letters that mutate() draws at once
+_MASK = (1 << 64) - 1
+_P1, _P2, _P3, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))  # of xxhash64
 LCG_MUL, LCG_ADD, LCG_MOD = 0x5DEECE66D, 11, 1 << 48
 
 
@@ -67,18 +72,71 @@ def binomial(u: Column, n: int, p: float) -> Column:
 def mutate(seq: Column, seed: Column, insert: float, delete: float, substitute: float) -> Column:
     """A sequence with letters inserted, deleted and replaced at given rates; the same seed gives the same result.
 
-    Chance is a hash of seed and place, so no state is carried from letter to letter.
+    Chance is a hash of seed and place, xxhash64(seed, place from 0, kind of chance) modulo 2^30, so no
+    state is carried from letter to letter; all letters of a slice are drawn at once.
     """
-    letters = F.array(*map(F.lit, "acgt"))
-    chance = lambda i, k: F.pmod(F.xxhash64(seed, i, F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
-    other = lambda c, i: F.get(F.filter(letters, lambda x: x != c), F.floor(chance(i, 1) * 3).cast("int"))
-    any_ = lambda i: F.get(letters, F.floor(chance(i, 2) * 4).cast("int"))
 
-    def one(c, i):
-        u = chance(i, 0)
-        return F.when(u < delete, "").when(u < delete + substitute, other(c, i)).when(u < delete + substitute + insert, F.concat(any_(i), c)).otherwise(c)
+    @F.arrow_udf("string")
+    def mutated(texts: pa.Array, seeds: pa.Array) -> pa.Array:
+        return pa.array([t and _mutated(t, s, insert, delete, substitute) for t, s in zip(texts.to_pylist(), seeds.to_pylist())], pa.string())
 
-    return F.when(F.length(seq) > 0, F.array_join(F.transform(F.split(seq, ""), one), "")).otherwise(seq)
+    return mutated(seq, F.xxhash64(seed))
+
+
+def differing(a: Column, b: Column, among: str) -> Column:
+    """Places, as far as both go, where b has another letter than a, one of `among`."""
+
+    @F.arrow_udf("long")
+    def places(one: pa.Array, other: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else _differing(x, y, among) for x, y in zip(one.to_pylist(), other.to_pylist())], pa.int64())
+
+    return places(a, b)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _places(points: np.ndarray, letters: str) -> np.ndarray:
+    """The place of each letter, by its code point, among up to 255 ASCII letters; their number where it is none of them."""
+    table = np.full(129, len(letters), np.uint8)
+    table[_points(letters)] = np.arange(len(letters))
+    return table[np.minimum(points, 128)]
+
+
+def _differing(a: str, b: str, among: str) -> int:
+    n = min(len(a), len(b))
+    x, y = (_points(t)[:n] for t in (a, b))
+    return int(np.count_nonzero((x != y) & (_places(y, among) < len(among))))
+
+
+def _hash_int(value: np.ndarray | int, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of 32-bit numbers, not negative, that goes on from `seed`."""
+    h = (seed + (_P5 + np.uint64(4))) ^ (np.atleast_1d(np.asarray(value, np.uint64)) * _P1)
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * _P2 + _P3
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def _mutated(text: str, seed: int, insert: float, delete: float, substitute: float) -> str:
+    letters, out = _points("acgt"), []
+    whole = _points(text)
+    for at in range(0, len(whole), SLICE):
+        c = whole[at : at + SLICE]
+        place = _hash_int(np.arange(at, at + len(c)), np.array([seed & _MASK], np.uint64))
+        chance = lambda k, some: (_hash_int(k, place[some]) & np.uint64((1 << 30) - 1)) / float(1 << 30)  # noqa: B023, E731
+        u = chance(0, slice(None))
+        gone = u < delete
+        other = ~gone & (u < delete + substitute)
+        more = ~gone & ~other & (u < delete + substitute + insert)
+        new, times = c.copy(), np.where(gone, 0, np.where(more, 2, 1))
+        pick = np.floor(chance(1, other) * 3).astype(np.int64)
+        new[other] = letters[pick + (pick >= _places(c[other], "acgt"))]  # the letter itself is passed over
+        made = np.repeat(new, times)
+        made[(np.cumsum(times) - times)[more]] = letters[np.floor(chance(2, more) * 4).astype(np.int64)]
+        out.append(made.tobytes().decode("utf-32-le"))
+    return "".join(out)
 
 
 def choose(draws: DataFrame, u: str, weights: DataFrame, value: str, weight: str) -> DataFrame:

@@ -257,5 +257,4 @@ def mutated_letters(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).select("doc_id", X.dna(F.col("text")).alias("s"))
     at = lambda *rates: samplers.mutate(F.col("s"), F.col("doc_id"), *rates)
     m = docs.withColumn("replaced", at(0.0, 0.0, 1.0)).withColumn("inserted", at(1.0, 0.0, 0.0)).withColumn("deleted", at(0.0, 1.0, 0.0))
-    differ = F.filter(F.arrays_zip(F.split("s", "").alias("x"), F.split("replaced", "").alias("y")), lambda p: (p["x"] != p["y"]) & p["y"].isin(*"acgt"))
-    return m.select("doc_id", F.length("s").cast("long").alias("n"), F.size(differ).cast("long").alias("n_replaced"), F.length("inserted").cast("long").alias("n_inserted"), F.length("deleted").cast("long").alias("n_deleted"))
+    return m.select("doc_id", F.length("s").cast("long").alias("n"), samplers.differing(F.col("s"), F.col("replaced"), "acgt").alias("n_replaced"), F.length("inserted").cast("long").alias("n_inserted"), F.length("deleted").cast("long").alias("n_deleted"))

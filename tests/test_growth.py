@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from strandframe.functions import samplers
 from strandframe.functions import scalars as X
 from strandframe.operators import align, variants
 from strandframe.plans.queries import QUERIES
@@ -51,3 +52,20 @@ def test_varint_of_products_beyond_64_bits(spark, tmp_path):
     assert {r.bytes: r.n for r in QUERIES["varint_bytes"](spark, str(tmp_path)).collect()} == {1: 2, 9: 4}
     assert spark.range(1).select(X.product(F.lit(3), F.lit(-5)), X.product(F.lit(1 << 40), F.lit(1 << 40), F.lit(0)), X.product(F.lit(1 << 40), F.lit(1 << 40))).first()[:] == (-15, 0, None)
     assert spark.range(1).select(X.product(F.lit((1 << 62) - 1), F.lit(2)), X.product(F.lit(1 << 62), F.lit(2))).first()[:] == ((1 << 63) - 2, None)
+
+
+def test_mutate_draws_letters_at_once(spark, monkeypatch):
+    """The same letters as from Spark's hash of each place, in slices, of texts with any letters; no fold over letters is left."""
+    text = "acgtnACé𝄞 -t" * 9000
+    df = spark.createDataFrame([(7, text), (8, ""), (9, None)], "k long, s string")
+    out = df.select("k", samplers.mutate(F.col("s"), F.col("k"), 0.1, 0.2, 0.3).alias("v"))
+    assert "lambda" not in out._jdf.queryExecution().toString()
+    got = {r.k: r.v for r in out.collect()}
+    h = spark.range(len(text)).select("id", *[(F.pmod(F.xxhash64(F.lit(7).cast("long"), F.col("id").cast("int"), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)).alias(f"u{k}") for k in range(3)]).orderBy("id").collect()
+    want = []
+    for c, (_, u, v, w) in zip(text, h):
+        other = [x for x in "acgt" if x != c]
+        want.append("" if u < 0.2 else other[int(v * 3)] if u < 0.2 + 0.3 else "acgt"[int(w * 4)] + c if u < 0.2 + 0.3 + 0.1 else c)
+    assert got == {7: "".join(want), 8: "", 9: None}
+    pairs = spark.createDataFrame([("acgt", "aggx"), ("é𝄞a", "ét"), ("", ""), (None, "a")], "a string, b string")
+    assert [r[0] for r in pairs.select(samplers.differing(F.col("a"), F.col("b"), "acgt")).collect()] == [1, 1, 0, None]
