@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 FLAG_NAMES = ("PAIRED", "PROPER_PAIR", "UNMAP", "MUNMAP", "REVERSE", "MREVERSE", "READ1", "READ2", "SECONDARY", "QCFAIL", "DUP", "SUPPLEMENTARY")
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once; within a higher-order function each mention of a column is worked out by itself."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 # --- letters -------------------------------------------------------------------------------
 
 

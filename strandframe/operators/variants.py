@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.functions.scalars import let
+
 REF, SNP, MNP, INDEL, OTHER, BND, OVERLAP = 0, 1, 2, 4, 8, 16, 32
 GENOTYPES = ("HOM_RR", "HOM_AA", "HET_RA", "HET_AA", "HAPL_R", "HAPL_A", "UNKN")
 
@@ -157,23 +159,35 @@ def used_alleles(alts: Column, genotypes: Column) -> Column:
     return F.concat(F.array(F.lit(0)), F.array_sort(F.array_distinct(seen)))
 
 
+def _parts(genotype: Column) -> Column:
+    return F.regexp_extract_all(genotype, F.lit(r"[0-9.]+|[/|]"), F.lit(0))
+
+
+def _renumbered(alts: Column, genotypes: Column, kept: Column, missing: Column | None = None) -> Column:
+    """struct<alts, genotypes> of the alleles in `kept`, whose places there are their new numbers; others are `missing`."""
+
+    def all_of(kept):
+        number = lambda p: (p - 1).cast("string")
+        place = lambda x: F.array_position(kept, x.try_cast("int"))
+        new = (lambda x: number(place(x))) if missing is None else lambda x: let(place(x), lambda p: F.when(p > 0, number(p)).otherwise(missing))
+        one = lambda x: F.when(x.rlike("^[0-9]+$"), new(x)).otherwise(x)
+        return F.struct(
+            F.filter(alts, lambda _, i: F.array_contains(kept, i + 1)).alias("alts"),
+            F.transform(genotypes, lambda g: F.array_join(F.transform(_parts(g), one), "")).alias("genotypes"),
+        )
+
+    return let(kept, all_of)
+
+
 def trim_alleles(alts: Column, genotypes: Column) -> Column:
     """struct<alts, genotypes> without unused alternatives, genotypes renumbered; '|' and '/' stay."""
-    used = used_alleles(alts, genotypes)
-    kept = F.filter(alts, lambda _, i: F.array_contains(used, i + 1))
-    parts = lambda g: F.regexp_extract_all(g, F.lit(r"[0-9.]+|[/|]"), F.lit(0))
-    new = F.transform(genotypes, lambda g: F.array_join(F.transform(parts(g), lambda x: F.when(x.rlike("^[0-9]+$"), (F.array_position(used, x.try_cast("int")) - 1).cast("string")).otherwise(x)), ""))
-    return F.struct(kept.alias("alts"), new.alias("genotypes"))
+    return _renumbered(alts, genotypes, used_alleles(alts, genotypes))
 
 
 def remove_alleles(alts: Column, genotypes: Column, gone: Column) -> Column:
     """struct<alts, genotypes> without the alternatives numbered (from 1) in `gone`; calls of them become missing."""
     kept = F.filter(F.sequence(F.lit(0), F.size(alts)), lambda i: (i == 0) | ~F.array_contains(gone, i))
-    parts = lambda g: F.regexp_extract_all(g, F.lit(r"[0-9.]+|[/|]"), F.lit(0))
-    place = lambda x: F.array_position(kept, x.try_cast("int"))
-    one = lambda x: F.when(~x.rlike("^[0-9]+$"), x).when(place(x) > 0, (place(x) - 1).cast("string")).otherwise(".")
-    new = F.transform(genotypes, lambda g: F.array_join(F.transform(parts(g), one), ""))
-    return F.struct(F.filter(alts, lambda _, i: F.array_contains(kept, i + 1)).alias("alts"), new.alias("genotypes"))
+    return _renumbered(alts, genotypes, kept, F.lit("."))
 
 
 def per_allele(values: Column, gone: Column, number: str = "A") -> Column:

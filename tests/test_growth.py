@@ -69,3 +69,14 @@ def test_mutate_draws_letters_at_once(spark, monkeypatch):
     assert got == {7: "".join(want), 8: "", 9: None}
     pairs = spark.createDataFrame([("acgt", "aggx"), ("é𝄞a", "ét"), ("", ""), (None, "a")], "a string, b string")
     assert [r[0] for r in pairs.select(samplers.differing(F.col("a"), F.col("b"), "acgt")).collect()] == [1, 1, 0, None]
+
+
+def test_alleles_are_read_once(spark):
+    """The alleles in use are found once a row, not once a letter of a genotype."""
+    df = spark.createDataFrame([(["0/3", "3|.", "1"],)], "g array<string>")
+    alts = F.array(*map(F.lit, "ACG"))
+    out = df.withColumn("t", variants.trim_alleles(alts, F.col("g"))).select("t.alts", "t.genotypes")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[/|]") == 2  # alleles() and _parts()
+    assert out.first()[:] == (["A", "G"], ["0/2", "2|.", "1"])
+    out = df.withColumn("t", variants.remove_alleles(alts, F.col("g"), F.array(F.lit(1)))).select("t.alts", "t.genotypes")
+    assert out.first()[:] == (["C", "G"], ["0/2", "2|.", "."])
