@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+TASK_ROWS = 500_000  # rows of merge() a task, in the mean
 MOST_BINS = 16  # bins of its level that an interval may cover
 
 
@@ -52,22 +53,32 @@ def overlap_join(left: DataFrame, right: DataFrame, on: str, shift: int = 13) ->
 
 
 def merge(df: DataFrame, on: str, beg: str = "beg", end: str = "end", shift: int = 16) -> DataFrame:
-    """Unions of overlapping or touching intervals of each `on`: on, beg, end, n.
+    """Unions of overlapping or touching intervals of each `on`: on, beg, end, n. An interval without a begin is one by itself.
 
-    Windows run within bins of 2^shift begins of one `on`. What goes on over a bin's border - the
-    furthest end so far, the number of unions so far - is a row a bin, joined back.
+    Windows run within bins of 2^shift begins of one `on` and leave a row a union of the bin. What goes
+    on over a bin's border - the furthest end so far, the union that began last - is a row a bin, joined
+    back. Rows are dealt over as many tasks as TASK_ROWS asks for, so that a task's memory does not grow
+    with the table.
     """
     key = ["on_", "bin_"]
-    rows = df.select(F.struct(F.col(on).alias("on")).alias("on_"), F.coalesce(F.shiftright(F.col(beg).cast("long"), shift), F.lit(-(1 << 62))).alias("bin_"), F.col(beg).alias("beg_"), F.col(end).alias("end_"))
-    w, across = Window.partitionBy(*key).orderBy("beg_", "end_"), Window.partitionBy("on_").orderBy("bin_")
-    sofar = across.rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*key).agg(F.max("end_").alias("m_")).select(*key, F.max("m_").over(sofar).alias("carried_"))
-    before = F.greatest(F.max("end_").over(w.rowsBetween(Window.unboundedPreceding, -1)), "carried_")
-    begun = rows.join(ends, key).withColumn("new_", F.when(before >= F.col("beg_"), 0).otherwise(1))
-    counts = begun.groupBy(*key).agg(F.sum("new_").alias("s_")).select(*key, F.coalesce(F.sum("s_").over(sofar), F.lit(0)).alias("base_"))
-    again = Window.partitionBy(*key).orderBy("beg_", "end_", F.desc("new_"))  # of equal intervals the one that begins a union is first
-    island = begun.join(counts, key).withColumn("island_", F.col("base_") + F.sum("new_").over(again.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("on_", "island_").agg(F.min("beg_").alias("beg"), F.max("end_").alias("end"), F.count("*").alias("n")).select(F.col("on_.on").alias(on), "beg", "end", "n")
+    rows = df.select(F.struct(F.col(on).alias("on")).alias("on_"), F.coalesce(F.shiftright(F.col(beg).cast("long"), shift), F.lit(1 << 62)).alias("bin_"), F.col(beg).alias("beg_"), F.col(end).alias("end_"))
+    total, most = rows.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-total // TASK_ROWS), min(most, -(-10 * total // TASK_ROWS)))
+    w = Window.partitionBy(*key).orderBy(F.asc_nulls_last("beg_"), F.asc_nulls_last("end_"))
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.max("end_").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begun = rows.repartition(parts, *key).withColumns({"new_": F.when(before >= F.col("beg_"), 0).otherwise(1), "k_": F.row_number().over(w)})
+    # of a union in its bin: its number, its first interval and, in its last row, its furthest end
+    begun = begun.withColumns({"u_": F.sum("new_").over(sofar), "first_": F.last(F.when(F.col("new_") == 1, F.struct("beg_", "k_")), True).over(sofar), "last_": F.lead("new_", 1, 1).over(w) == 1})
+    begun = begun.withColumn("far_", F.max(F.struct("u_", "end_")).over(sofar))
+    local = begun.filter("last_").select(*key, "first_", F.col("far_.end_").alias("end_"), (F.col("k_") - F.col("first_.k_") + 1).alias("n_"))
+    across = Window.partitionBy("on_").orderBy("bin_").rowsBetween(Window.unboundedPreceding, -1)
+    bins = local.groupBy(*key).agg(F.max("end_").alias("m_"), F.max("first_").alias("first_")).withColumn("carried_", F.max("m_").over(across))
+    goes_on = F.coalesce(F.col("carried_") >= F.col("first_.beg_"), F.lit(False))
+    bins = bins.withColumn("open_", F.last(F.when(~goes_on, F.col("first_")), True).over(across)).select(*key, "carried_", "open_")
+    whole = local.join(bins, key).select("on_", F.when(goes_on, F.col("open_")).otherwise(F.col("first_")).alias("union_"), F.col("first_.beg_").alias("beg_"), "end_", "n_")
+    whole = whole.repartition(parts, "on_", "union_").groupBy("on_", "union_").agg(F.min("beg_").alias("beg"), F.max("end_").alias("end"), F.sum("n_").alias("n"))
+    return whole.select(F.col("on_.on").alias(on), "beg", "end", "n")
 
 
 def _number(text: Column) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import time
 
+import duckdb
 import pytest
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from strandframe.functions import samplers
 from strandframe.functions import scalars as X
-from strandframe.operators import align, variants
+from strandframe.operators import align, intervals, variants
 from strandframe.plans.queries import QUERIES
 
 
@@ -80,3 +82,21 @@ def test_alleles_are_read_once(spark):
     assert out.first()[:] == (["A", "G"], ["0/2", "2|.", "1"])
     out = df.withColumn("t", variants.remove_alleles(alts, F.col("g"), F.array(F.lit(1)))).select("t.alts", "t.genotypes")
     assert out.first()[:] == (["C", "G"], ["0/2", "2|.", "."])
+
+
+def test_merge_deals_rows_out(spark, monkeypatch):
+    """As many tasks as the rows ask for; nulls and ends before begins are treated as in SQL."""
+    monkeypatch.setattr(intervals, "TASK_ROWS", 20)
+    rows = [(k % 4 or None, None if k % 41 == 0 else k * 37 % 900, None if k % 13 == 0 else k * 37 % 900 + (k * 7 % 60) - 5) for k in range(700)]
+    rows += [("x", 5, None), ("x", 5, 7), ("x", 5000, 3), ("x", None, 6000), ("x", 6, 4), ("x", 100, 4000), ("x", 4500, None)]
+    rows = [(str(c) if c else None, b, e) for c, b, e in rows]
+    df = spark.createDataFrame(rows, "c string, beg long, end long")
+    out = intervals.merge(df, "c", shift=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") > 1 and all(line.rstrip().endswith(f", {-(-len(rows) // 20)}") for line in plan.splitlines() if "RepartitionByExpression" in line)
+    con = duckdb.connect()
+    con.register("t", df.toArrow())
+    sql = """WITH b AS (SELECT *, max("end") OVER (PARTITION BY c ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t),
+        g AS (SELECT *, sum(CASE WHEN before >= beg THEN 0 ELSE 1 END) OVER (PARTITION BY c ORDER BY beg, "end" ROWS UNBOUNDED PRECEDING) AS island FROM b)
+        SELECT c, min(beg) AS beg, max("end") AS "end", count(*) AS n FROM g GROUP BY c, island"""
+    assert rows_of(out.toArrow()) == rows_of(con.execute(sql).to_arrow_table())
